@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, secrets
+from tidemark.llm import exact_dedup, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    component = F.when(F.col("label") < simhash.NO_ID, F.col("label"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.decide(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -36,7 +42,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_secrets": op1_secrets, "op3_simhash": op3_simhash, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
