@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, secrets, simhash
+from tidemark.llm import exact_dedup, mixing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,28 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    by_document = pieces.groupBy("row_id", "doc_id", "size", "source_size", "target")
+    return by_document.agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken")).drop("row_id")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, (2 * source_size)::DOUBLE AS most FROM s),
+l AS (SELECT *, most / weight AS ratio, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE
+        - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, least(most, (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, rank LIMIT 1) * weight) AS target FROM l),
+o AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR || '#7'), d.doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS pos
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (greatest(0, least(size, quota - pos)) + greatest(0, least(size, quota - source_size - pos)))::BIGINT AS taken FROM o
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     component = F.when(F.col("label") < simhash.NO_ID, F.col("label"))
@@ -42,8 +64,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op3_simhash": op3_simhash, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_mixing": OP2_SQL, "op8_exact_dedup": OP8_SQL}
