@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -41,10 +42,15 @@ def check(rows, docs, limits):
     return pad / sum(len(x) for x in docs.values())
 
 
-def ids_of(text):
+@functools.cache
+def library():
     t = Tokenizer.from_file(public_path(packing.TOKENIZER))
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return t
+
+
+def ids_of(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_pack_odd_texts(spark):
