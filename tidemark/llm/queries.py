@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, secrets, simhash
+from tidemark.llm import exact_dedup, mixing, packing, secrets, simhash, token_files
+from tidemark.plans.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +69,14 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch_path(spark, "token-files")
+    manifest = token_files.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), uri)
+    return token_files.read(spark, uri, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op6_packing": op6_packing, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op6_packing": op6_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
