@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, secrets, simhash, token_files
+from tidemark.llm import exact_dedup, langid, mixing, packing, secrets, simhash, token_files
 from tidemark.plans.session import scratch_path
 
 
@@ -52,6 +52,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.classified(docs.select("doc_id", "text"), langid.fit(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"), F.col("__lang_rejected").alias("rejected"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -76,7 +82,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op6_packing": op6_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_files": op10_token_files}
+    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op5_langid": op5_langid, "op6_packing": op6_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
