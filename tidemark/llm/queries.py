@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, langid, mixing, packing, secrets, simhash, token_files
+from tidemark.llm import ann, chat, exact_dedup, langid, mixing, packing, secrets, simhash, token_files
 from tidemark.plans.session import scratch_path
 
 
@@ -52,6 +52,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.classified(docs.select("doc_id", "text"), langid.fit(docs.select("doc_id", "text", "lang")))
@@ -99,7 +103,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op5_langid": op5_langid, "op6_packing": op6_packing, "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat, "op10_token_files": op10_token_files}
+    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_ann": op4_ann, "op5_langid": op5_langid, "op6_packing": op6_packing, "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
