@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.session import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
 
@@ -16,6 +19,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number for each row that stays the same when docs is read again, in whatever parts.
+
+    For tables in files it is a hash of the file and the place in it (joins should also compare doc_id); any other DataFrame is
+    numbered and kept in the shared folder.
+    """
+    docs = docs.drop("__row")
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def row_number(docs: DataFrame) -> Column:
+    """__row if docs has it, else a number of the row that holds for one reading."""
+    return F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The identified docs joined to chosen (row_id, id, ...) by row and doc_id."""
+    same = (docs["__row"] == chosen["row_id"]) & docs["doc_id"].cast("long").eqNullSafe(chosen["id"])
+    return docs.join(chosen, same, how)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

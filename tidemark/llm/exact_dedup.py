@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import chosen_rows, identified, row_number
 from tidemark.llm.mph import PerfectHash, digest_matrix
 from tidemark.plans.session import cut, ship
 
@@ -30,7 +31,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """row_id, doc_id and the SHA-256 digest of each whole text; computed once."""
     return cut(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"),
+            row_number(docs).alias("row_id"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest"),
         )
@@ -138,9 +139,7 @@ def decide(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
-
-    docs is read twice and its rows must come in the same order (a stored table does).
-    """
-    out = decide(docs, history).filter("kept").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(out, "__row", "left_semi").drop("__row")
+    """The rows of docs that stay, with all their columns."""
+    rows = identified(docs)
+    kept = decide(rows, history).where("kept").select("row_id", F.col("doc_id").alias("id"))
+    return chosen_rows(rows, kept).select(*docs.columns)

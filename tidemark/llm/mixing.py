@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import WORD, let, word_count
+from tidemark.llm.columns import WORD, chosen_rows, identified, let, row_number, word_count
 from tidemark.plans.session import cut, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"#{seed}")).cast("binary"))
     rows = cut(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"),
+            row_number(docs).alias("row_id"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key"),
@@ -150,9 +150,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with all columns of docs: a row for each piece, by shard and in the shard's order.
 
     A document read twice is there twice; the one at the end of its source's target is cut after the words taken.
-    docs is read twice and its rows must come in the same order (a stored table does).
     """
-    taken = mix(docs, **options).where("epoch is not null").select(F.col("row_id").alias("__row"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("shard").alias("__shard"), F.col("order_key").alias("__order"))
-    out = docs.withColumn("__row", F.monotonically_increasing_id()).join(taken, "__row")
-    text = F.when(F.col("__words") < F.col("__size"), first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text"))
-    return out.withColumn("text", text).repartition("__shard").sortWithinPartitions("__shard", "__order").select(*docs.columns)
+    rows = identified(docs)
+    taken = mix(rows, **options).where("epoch is not null").select("row_id", F.col("doc_id").alias("id"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("shard").alias("__shard"), F.col("order_key").alias("__order"))
+    out = chosen_rows(rows, taken, "inner")
+    text = F.when(F.col("__words") < F.col("__size"), first_words(rows["text"], F.col("__words"))).otherwise(rows["text"])
+    columns = [text.alias("text") if c == "text" else rows[c] for c in docs.columns]
+    return out.select(*columns, "__shard", "__order").repartition("__shard").sortWithinPartitions("__shard", "__order").select(*docs.columns)

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import chosen_rows, identified, row_number
 from tidemark.llm.components import stars
 from tidemark.plans.session import cut, ship
 
@@ -72,7 +73,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, fp (the fingerprint as a signed long); computed once."""
     ship(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(row_number(docs).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return cut(rows.mapInArrow(_fingerprints, "row_id long, doc_id long, fp long"))
 
 
@@ -159,10 +160,8 @@ def classes(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, with all their columns, that have the smallest doc_id of their class (one row if that is repeated).
-
-    docs is read twice and its rows must come in the same order (a stored table does).
-    """
+    """The rows of docs, with all their columns, that have the smallest doc_id of their class (one row if that is repeated)."""
+    rows = identified(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
-    first = classes(docs, radius).groupBy("label").agg(F.min_by("row_id", order).alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(first, "__row", "left_semi").drop("__row")
+    first = classes(rows, radius).groupBy("label").agg(F.min_by(F.struct("row_id", F.col("doc_id").alias("id")), order).alias("first"))
+    return chosen_rows(rows, first.select("first.*")).select(*docs.columns)
