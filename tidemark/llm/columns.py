@@ -47,21 +47,23 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, gaps: bool = False) -> Column:
     """Array of (start, end, hit) of the leftmost non-overlapping matches of a pattern that can't match nothing.
 
     Offsets are code points, end exclusive: a hit starts after the gaps and hits before it. The running sums are
     taken in blocks, so that a text with very many hits costs little more than one pass.
-    keep: a predicate of the hit; failing hits still take their place in the text.
+    keep: a predicate of the hit; failing hits still take their place in the text. gaps: also the text before each hit, as gap.
     """
+    fields = ("start", "end", "hit", "gap") if gaps else ("start", "end", "hit")
+    kind = "array<struct<" + ",".join(f"{f}:{'int' if f in ('start', 'end') else 'string'}" for f in fields) + ">>"
 
     def walk(pairs: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
-        step = lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.length(p["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + F.length(p["hit"])).alias("end"), p["hit"].alias("hit")))).alias("out"),
-        )
-        return F.aggregate(pairs, first, step)
+        def step(acc: Column, p: Column) -> Column:
+            start = acc["at"] + F.length(p["gap"])
+            values = {"start": start, "end": start + F.length(p["hit"]), "hit": p["hit"], "gap": p["gap"]}
+            return F.struct(values["end"].alias("at"), F.concat(acc["out"], F.array(F.struct(*[values[f].alias(f) for f in fields]))).alias("out"))
+
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step)
 
     def in_blocks(pairs: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
@@ -71,13 +73,12 @@ def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | N
     def shifted(blocks: Column) -> Column:
         first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         offsets = F.aggregate(blocks, first, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
-        move = lambda b, o: F.transform(b["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["hit"].alias("hit")))
+        move = lambda b, o: F.transform(b["out"], lambda s: F.struct(*[(s[f] + o if f in ("start", "end") else s[f]).alias(f) for f in fields]))
         return F.flatten(F.zip_with(blocks, offsets, move))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())  # the last gap has no hit
     spans = let(pairs, lambda p: F.when(F.size(p) > 0, in_blocks(p)))
-    spans = F.when(text.rlike(pattern), spans)
-    spans = F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    spans = F.coalesce(F.when(text.rlike(pattern), spans), F.array().cast(kind))
     return F.filter(spans, lambda s: keep(s["hit"])) if keep else spans

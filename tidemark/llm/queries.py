@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, exact_dedup, langid, mixing, packing, secrets, simhash, token_files
+from tidemark.llm import ann, chat, exact_dedup, langid, licenses, mixing, packing, secrets, simhash, token_files
 from tidemark.plans.session import scratch_path
 
 
@@ -67,6 +67,45 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = F.transform("found", lambda x: F.concat_ws(":", x["licence"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["licence"]))), ",").alias("licenses"),
+        F.array_join(written, ",").alias("spans"),
+    )
+
+
+def _values(pairs: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+
+
+# Boundaries and matches are marked by control characters, and places are running sums of the lengths between them.
+OP7_SQL = rf"""
+WITH known(sentence, sign) AS (VALUES {_values(list(licenses.known().items()))}),
+rules(signs, licence) AS (VALUES {_values(licenses.rules())}),
+cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, '') || chr(10) || chr(10), '({licenses.BOUNDARY.replace("'", "''")})', chr(2) || '\1' || chr(1), 'g'), chr(1)) AS parts
+        FROM documents WHERE regexp_matches(text, '{licenses.NEEDED}')),
+units AS (SELECT doc_id, i, split_part(part, chr(2), 1) AS gap, sum(length(part) - 1) OVER (PARTITION BY doc_id ORDER BY i) - length(part) + 1 AS start
+          FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut) WHERE part <> ''),
+forms AS (SELECT *, trim(regexp_replace(lower(gap), '[^a-z0-9]+', ' ', 'g')) AS whole,
+                 trim(regexp_replace(lower(split_part(gap, chr(10), -1)), '[^a-z0-9]+', ' ', 'g')) AS last_line,
+                 trim(regexp_replace(lower(split_part(gap, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS first_line FROM units),
+signed AS (SELECT f.doc_id, row_number() OVER (PARTITION BY f.doc_id ORDER BY i) AS n, start, start + length(gap) AS stop, coalesce(a.sign, b.sign, c.sign, '-') AS sign
+           FROM forms f LEFT JOIN known a ON a.sentence = whole LEFT JOIN known b ON b.sentence = last_line LEFT JOIN known c ON c.sentence = first_line WHERE whole <> ''),
+sequences AS (SELECT doc_id, string_split(regexp_replace(string_agg(sign, '' ORDER BY n), '({"|".join(x for x, _ in licenses.rules())})', chr(2) || '\1' || chr(1), 'g'), chr(1)) AS parts FROM signed GROUP BY doc_id),
+hits AS (SELECT doc_id, split_part(part, chr(2), 2) AS signs, sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i) AS last
+         FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM sequences)),
+found AS (SELECT h.doc_id, licence, a.start, b.stop FROM (SELECT * FROM hits WHERE signs <> '') h JOIN (SELECT DISTINCT signs, licence FROM rules) r USING (signs)
+          JOIN signed a ON a.doc_id = h.doc_id AND a.n = h.last - length(h.signs) + 1 JOIN signed b ON b.doc_id = h.doc_id AND b.n = h.last),
+listed AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses,
+                  string_agg(licence || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, coalesce(spans, '') AS spans FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.decide(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -103,8 +142,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_ann": op4_ann, "op5_langid": op5_langid, "op6_packing": op6_packing, "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat, "op10_token_files": op10_token_files}
+    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_ann": op4_ann, "op5_langid": op5_langid, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_exact_dedup": op8_exact_dedup, "op9_chat": op9_chat, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op7_licenses": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}
