@@ -51,9 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per context."""
+    """Sends this package to the executors' Python workers, once per context, and bounds their batches by bytes unless the session does."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     if getattr(sc, "_tidemark_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="tidemark-ship-")) / "tidemark_pkg.zip"
