@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 END_ID = 2
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 400_000  # of a generation; two are kept
 LONGEST_PIECE = 64
 
 _PLAIN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -39,20 +39,27 @@ def byte_letters() -> dict[int, str]:
 
 
 class Kept(dict):
-    """Ids of pieces that follow a certain space (or none), made at the first use; emptied when it is full."""
+    """Ids of pieces that follow a certain space (or none), made at the first use.
+
+    When it is full it becomes the old generation and is emptied; pieces used again come back from there.
+    """
 
     def __init__(self, encoder: Encoder, space: str = ""):
         super().__init__()
-        self.encoder, self.space = encoder, space
+        self.encoder, self.space, self.old = encoder, space, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEPT_PIECES:
+            self.old = dict(self)
             self.clear()
+        if piece in self.old:
+            ids = self[piece] = self.old[piece]
+            return ids
         letters = _LETTERS.fullmatch(piece)
         if not letters:
             ids = self.encoder.whole(self.space + piece)
         elif letters[2]:
-            known = letters[1] in self
+            known = letters[1] in self or letters[1] in self.old
             ids = self[letters[1]] + self.encoder.marks(letters[2])
             if not known:
                 return ids
