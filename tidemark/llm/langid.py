@@ -33,7 +33,7 @@ CLUSTERS = 4
 ROUNDS = 12
 LEAST_SHARE = 0.1  # of a language's training texts; smaller clusters are mostly texts with a wrong label
 HELD_OUT = 2  # of crc32(doc_id) mod 4
-SLACK = 0.3  # of the low cosines seen in training
+SLACK = 0.2  # of the low cosines seen in training
 LOW = 0.01  # the quantile that counts as low
 NEAR = 20  # training texts that a bin of length needs
 FLOOR = 0.02  # for texts shorter than those
