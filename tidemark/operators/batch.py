@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import check_key, valid_key, valid_value
+from tidemark.operators.order import numbered
 from tidemark.operators.resolve import MUTATION
 
 _COLUMNS = [f.name for f in MUTATION]
@@ -16,12 +17,9 @@ _COLUMNS = [f.name for f in MUTATION]
 
 def puts(rows: DataFrame, first_seq: int, source: str = "local") -> DataFrame:
     """Mutations that put the rows (key, value, perhaps expire_at), numbered from first_seq in order of key."""
-    from pyspark.sql import Window as W
-
     expire = F.col("expire_at").cast("long") if "expire_at" in rows.columns else F.lit(None).cast("long")
-    seq = F.row_number().over(W.orderBy("key")) - 1 + first_seq
     checked = rows.select(valid_key(F.col("key")).alias("key"), valid_value(F.col("value")).alias("value"), expire.alias("expire_at"))
-    return checked.select("key", "value", seq.cast("long").alias("seq"), F.lit(False).alias("tombstone"), "expire_at", F.lit(source).alias("source"))
+    return numbered(checked, "key", "seq", first_seq).select("key", "value", "seq", F.lit(False).alias("tombstone"), "expire_at", F.lit(source).alias("source"))
 
 
 def mput(spark: SparkSession, entries: dict[str, str], first_seq: int, source: str = "local") -> DataFrame:
@@ -45,10 +43,8 @@ def mdelete(spark: SparkSession, keys: list[str], first_seq: int, source: str =
 
 def deletes(keys: DataFrame, first_seq: int, source: str = "local") -> DataFrame:
     """Tombstones for a relation of keys (key); S7 is the deletion of all keys of a view."""
-    from pyspark.sql import Window as W
-
-    seq = F.row_number().over(W.orderBy("key")) - 1 + first_seq
-    return keys.select(valid_key(F.col("key")).alias("key")).select("key", F.lit(None).cast("string").alias("value"), seq.cast("long").alias("seq"), F.lit(True).alias("tombstone"), F.lit(None).cast("long").alias("expire_at"), F.lit(source).alias("source"))
+    checked = numbered(keys.select(valid_key(F.col("key")).alias("key")), "key", "seq", first_seq)
+    return checked.select("key", F.lit(None).cast("string").alias("value"), "seq", F.lit(True).alias("tombstone"), F.lit(None).cast("long").alias("expire_at"), F.lit(source).alias("source"))
 
 
 def appended(log: DataFrame, mutations: DataFrame) -> DataFrame:

@@ -1,27 +1,22 @@
 """Command streams as relations (D1 to D6): each read sees the last write before it.
 
-A stream of requests is (pos, ...); its keyed accesses are exploded, the state before each is a window over the key's earlier writes,
-and answers are gathered by request. Nothing is replayed in a loop.
+A stream of requests is (pos, ...); its keyed accesses are exploded, the state before each is the last of the key's earlier writes, found span
+by span, and answers are gathered by request. Nothing is replayed in a loop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import codecs
-
-
-def _before(value: Column, partition: list[str], order: list[str]) -> Column:
-    """The last non-null of value in earlier rows."""
-    return F.last(value, ignorenulls=True).over(W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+from tidemark.operators.order import with_last_before
 
 
 def dispatch(requests: DataFrame) -> DataFrame:
     """(pos, status, payload) of requests (pos, op, key, value): PUT, GET, DELETE, EXISTS, in order of pos, on an empty store."""
     write = F.when(F.col("op") == "PUT", F.struct(F.col("value").alias("v"))).when(F.col("op") == "DELETE", F.struct(F.lit(None).cast("string").alias("v")))
-    held = requests.withColumn("_held", _before(write, ["key"], ["pos"])["v"])
+    held = with_last_before(requests, "key", "pos", write, "_h").withColumn("_held", F.col("_h.v"))
     status = F.when((F.col("op") == "GET") & F.col("_held").isNull(), "NOT_FOUND").otherwise("OK")
     payload = F.when(F.col("op") == "GET", F.col("_held")).when(F.col("op") == "EXISTS", F.when(F.col("_held").isNull(), "0").otherwise("1"))
     return held.select("pos", status.alias("status"), payload.alias("payload"))
@@ -52,7 +47,7 @@ def run_commands(commands: DataFrame) -> DataFrame:
     put = F.when(F.col("verb").isin("SET", "MSET"), F.element_at("words", F.col("i") + 1))
     write = F.when(F.col("verb").isin("SET", "MSET", "DEL"), F.struct(put.alias("v")))
     accesses = accesses.select("pos", "i", F.element_at("words", F.col("i")).alias("key"), write.alias("write"))
-    seen = accesses.withColumn("held", _before(F.col("write"), ["key"], ["pos", "i"])["v"])
+    seen = with_last_before(accesses, "key", "pos", F.col("write"), "_h", ("i",)).withColumn("held", F.col("_h.v"))
     gathered = seen.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("i", "held"))).alias("h"))
     values = F.transform("h", lambda x: x["held"])
     present = F.size(F.filter(values, lambda v: v.isNotNull()))

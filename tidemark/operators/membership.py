@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.resolve import newest
@@ -14,14 +13,13 @@ SUSPECT_MS, DOWN_MS, CHECK_MS, FANOUT = 3_000, 10_000, 1_000, 3
 
 
 def members(events: DataFrame) -> DataFrame:
-    """(node_id, status) after events (node_id, event, seq): join, leave, suspect, down.
+    """(node_id, status) after events (node_id, event, seq): join, leave, suspect, down; seq from 0.
 
     A join makes a node active, a leave removes it; suspect and down count only for a node that is known at that moment.
     """
-    by = W.partitionBy("node_id").orderBy("seq")
-    entry = F.last(F.when(F.col("event").isin("join", "leave"), F.col("event")), ignorenulls=True).over(by)
-    known = events.withColumn("_entry", entry).where((F.col("_entry") == "join") | (F.col("event") == "leave"))
-    last = newest(known.select("node_id", "event", "seq"), by="node_id").where(F.col("event") != "leave")
+    at = lambda e: F.coalesce(F.max(F.when(F.col("event") == e, F.col("seq"))), F.lit(-1))
+    # After a node's last join, if it did not leave since, every event counts; so its last event says what it is.
+    last = events.groupBy("node_id").agg(F.max_by("event", "seq").alias("event"), at("join").alias("_joined"), at("leave").alias("_left")).where(F.col("_joined") > F.col("_left"))
     status = F.when(F.col("event") == "join", "ACTIVE").when(F.col("event") == "suspect", "SUSPECT").otherwise("DOWN")
     return last.select("node_id", status.alias("status"))
 

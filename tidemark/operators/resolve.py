@@ -31,11 +31,11 @@ FLUSH_BYTES = 64 << 20
 def newest(df: DataFrame, by: list[str] | str = "key", seq: str = "seq", rank: str | None = None) -> DataFrame:
     """Of the rows with the same by columns, the one with the highest seq, then the lowest rank (0 if there is none), whole."""
     by = [by] if isinstance(by, str) else by
-    rest = [c for c in df.columns if c not in by]
-    order = [F.col(seq)] + ([-F.col(rank)] if rank else [])
-    # Rows that agree in all of these are told apart by their other columns, so that reruns agree.
-    order += [F.col(c) for c in rest if c not in (seq, rank)]
-    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_w")).select(*by, *[F.col("_w")[c].alias(c) for c in rest])
+    rest = [c for c in df.columns if c not in by and c not in (seq, rank)]
+    # One struct is order and content at once; rows that agree in seq and rank are told apart by the rest, so that reruns agree.
+    fields = [F.col(seq).alias("_seq"), *([(-F.col(rank)).alias("_rank")] if rank else []), *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)]]
+    won = {seq: F.col("_w._seq"), **({rank: -F.col("_w._rank")} if rank else {}), **{c: F.col(f"_w._{i}") for i, c in enumerate(rest)}}
+    return df.groupBy(*by).agg(F.max(F.struct(*fields)).alias("_w")).select(*by, *[won[c].alias(c) for c in df.columns if c not in by])
 
 
 def merge(*runs: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import sort_key
-from tidemark.plans.session import cut, ship
+from tidemark.operators.order import numbered
+from tidemark.plans.session import ship
 from tidemark.sources import files
 
 # Fixed values of the format.
@@ -111,12 +111,5 @@ def write(resolved: DataFrame, folder: str, partitions: int = 1, created_ms: int
 
 
 def sparse_index(resolved: DataFrame, every: int = EVERY) -> DataFrame:
-    """The index as a relation: (n, key) of every 16th key in order, from the first.
-
-    Keys are numbered without one big sort in one task: ranges of keys are sorted apart, and each begins at the count of those before.
-    """
-    ranged = cut(resolved.select("key").repartitionByRange("key").withColumn("_p", F.spark_partition_id()))  # read twice: the ranges must be the same
-    before = F.sum("count").over(W.orderBy("_p")) - F.col("count")
-    firsts = ranged.groupBy("_p").count().select("_p", before.alias("_before"))
-    n = F.row_number().over(W.partitionBy("_p").orderBy("key")) - 1 + F.col("_before")
-    return ranged.join(firsts, "_p").withColumn("n", n).where(F.col("n") % every == 0).select("n", "key")
+    """The index as a relation: (n, key) of every 16th key in order, from the first."""
+    return numbered(resolved.select("key"), "key", "n").where(F.col("n") % every == 0).select("n", "key")
