@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import bloom, codecs, hashing, keys, resp
 from tidemark.operators import batch, commands, membership, metrics, quorum, raftlog, resolve, ring, scan, ttl
 from tidemark.plans import relations as R
+from tidemark.plans.session import scratch_path
 from tidemark.sources import log as log_source
-from tidemark.sources import runs
+from tidemark.sources import runs, snapshot
+from tidemark.sources.lake import Lake, read_snapshot
+from tidemark.streaming import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -513,7 +516,10 @@ def resp_get_sequential(spark, d):
     return commands.dispatch(R.log(spark, d).select(F.col("seq").alias("pos"), op.alias("op"), "key", "value"))
 
 
-@query()
+@query("""SELECT event_id AS pos, CASE WHEN event_type = 'error' THEN ':' || CASE WHEN h IS NULL THEN 0 ELSE 1 END || chr(13) || chr(10) WHEN event_id % 3 = 0 THEN '+OK' || chr(13) || chr(10)
+ELSE '*2' || chr(13) || chr(10) || CASE WHEN h IS NULL THEN '$-1' ELSE '$' || strlen(h) || chr(13) || chr(10) || h END || chr(13) || chr(10) || '$-1' || chr(13) || chr(10) END AS reply FROM
+(SELECT *, (last_value(w IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)).v AS h FROM
+ (SELECT *, CASE WHEN event_type = 'error' THEN {'v': NULL::VARCHAR} WHEN event_id % 3 = 0 THEN {'v': event_type} END AS w FROM events))""")
 def resp_commands(spark, d):
     """Command bytes, parsed and answered."""
     e = R.table(spark, d, "events")
@@ -576,3 +582,157 @@ def bloom_probe(spark, d):
 def log_gaps(spark, d):
     by = W.partitionBy("run").orderBy("seq")
     return R.log(spark, d).select("run", "seq", F.coalesce(F.col("seq") - F.lag("seq").over(by), F.lit(0)).alias("step"))
+
+
+# Stores and files: written to the shared folder and read back
+
+_ROWS_SQL = "SELECT key, value, seq, tombstone FROM log"
+
+
+@query(_ROWS_SQL, R.LOG_SQL)
+def wal_files(spark, d):
+    """Four log files, one for each run of the log."""
+    folder = scratch_path(spark, "wal")
+    for i in range(R.RUNS):
+        log_source.append(R.log(spark, d).where(F.col("run") == i), folder, f"{i:06d}.wal")
+    return log_source.read(spark, folder).select("key", "value", "seq", "tombstone")
+
+
+@query("SELECT key, value, seq, tombstone FROM resolved", R.STATE_SQL)
+def run_files(spark, d):
+    folder = scratch_path(spark, "runs")
+    runs.write(resolve.newest(R.log(spark, d).drop("run", "expire_at")), folder, 4)
+    return runs.read(spark, folder).select("key", "value", "seq", "tombstone")
+
+
+@query("SELECT key, value FROM view", R.STATE_SQL)
+def snapshot_files(spark, d):
+    folder = scratch_path(spark, "snapshot")
+    snapshot.write(resolve.view(R.log(spark, d)), folder, "view.snap")
+    return snapshot.read(spark, folder)
+
+
+def _lake(spark, d):
+    lake = Lake(spark, scratch_path(spark, "lake"))
+    for i in range(R.RUNS):
+        lake.append(R.log(spark, d).where(F.col("run") == i).drop("run"))
+    return lake
+
+
+@query("SELECT key, value, seq, expire_at FROM resolved WHERE NOT tombstone", R.STATE_SQL)
+def lake_compacted(spark, d):
+    """Two of four runs merged, then all of them."""
+    lake = _lake(spark, d)
+    lake.compact(major=False, names=lake.manifest()["runs"][1:3])
+    lake.compact()
+    return lake.entries().select("key", "value", "seq", "expire_at")
+
+
+@query("SELECT key, value FROM view WHERE key >= 'user:000040' AND key < 'user:00009'", R.STATE_SQL)
+def lake_scan_range(spark, d):
+    return _lake(spark, d).scan_range("user:000040", "user:00009")
+
+
+@query("SELECT key, value FROM view", R.STATE_SQL)
+def lake_snapshot(spark, d):
+    target = scratch_path(spark, "lake-snapshot")
+    _lake(spark, d).snapshot(target)
+    return read_snapshot(spark, target)
+
+
+@query(f"SELECT key, value FROM resolved WHERE NOT tombstone AND (expire_at IS NULL OR expire_at > {AS_OF + 2 * R.DAY_MS})", R.STATE_SQL)
+def lake_evicted(spark, d):
+    lake = _lake(spark, d)
+    lake.evict(AS_OF + 2 * R.DAY_MS)
+    return lake.view()
+
+
+@query("SELECT key, value, seq, tombstone, expire_at FROM resolved", R.STATE_SQL)
+def stream_latest(spark, d):
+    """The newest versions kept by a stream over the events' files, until all are read."""
+    schema = R.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    name = "latest_" + scratch_path(spark, "x").rpartition("-")[2]
+    views.to_memory(views.latest(R.mutations(events).drop("run")), name, scratch_path(spark, "stream")).start().awaitTermination()
+    return spark.table(name).select("key", "value", "seq", "tombstone", "expire_at")
+
+
+# More of the inventory
+
+@query("SELECT key, CASE WHEN a.seq IS NULL OR b.seq > a.seq THEN coalesce(b.seq, a.seq) ELSE a.seq END AS seq FROM (SELECT key, max(seq) AS seq FROM log WHERE run = 0 GROUP BY key) a FULL JOIN (SELECT key, max(seq) AS seq FROM log WHERE run = 1 GROUP BY key) b USING (key)", R.LOG_SQL)
+def kv_resolve_two(spark, d):
+    side = lambda i: resolve.newest(R.log(spark, d).where(F.col("run") == i).select("key", "value", "seq")).select("key", F.struct("seq", "value").alias(f"v{i}"))
+    both = side(0).join(side(1), "key", "full")
+    return both.select("key", resolve.either(F.col("v0"), F.col("v1"))["seq"].alias("seq"))
+
+
+@query("SELECT key, value FROM view WHERE false", R.STATE_SQL)
+def kv_clear(spark, d):
+    view = resolve.view(R.log(spark, d))
+    gone = batch.deletes(view.select("key"), 1 << 40).select("key", "value", "seq", "tombstone")
+    return resolve.view(batch.appended(R.log(spark, d).select("key", "value", "seq", "tombstone"), gone))
+
+
+@query(f"SELECT key, seq + 1 AS seq, true AS tombstone FROM resolved WHERE NOT tombstone AND expire_at <= {AS_OF + 30 * R.DAY_MS}", R.STATE_SQL)
+def kv_ttl_evictions(spark, d):
+    live = resolve.live(resolve.newest(R.log(spark, d).drop("run")))
+    return ttl.evictions(live, AS_OF + 30 * R.DAY_MS).select("key", "seq", "tombstone")
+
+
+@query("SELECT * FROM (VALUES (0, true), (1, true), (2, true), (3, true), (4, false), (5, false)) t(i, blank)")
+def kv_blank_keys(spark, d):
+    rows = spark.createDataFrame(list(enumerate([None, "", " ", "\t\n", "k", " k "])), "i int, key string")
+    return rows.select("i", keys.is_blank(F.col("key")).alias("blank"))
+
+
+@query("SELECT count(*) AS pending FROM missed", _HINTS_SQL)
+def hints_total(spark, d):
+    return quorum.total_pending(_hints(spark, d))
+
+
+@query("SELECT key, count(u.node_id) AS acks, count(u.node_id) >= 3 AS ok FROM placement LEFT JOIN up u USING (node_id) WHERE key IN (SELECT key FROM log WHERE tombstone) GROUP BY key", _REPLICAS_SQL + _UP_SQL)
+def quorum_delete(spark, d):
+    gone = R.log(spark, d).where("tombstone").select("key").distinct()
+    placed = ring.replica_rows(gone, ring.tokens(R.nodes(spark, 5)), 3)
+    return quorum.acks(placed, _up(spark), quorum.Quorum(3, 3, 1))
+
+
+@query("SELECT o AS observer, count(*) AS entries, max(version) AS newest FROM d GROUP BY o", _GOSSIP_SQL)
+def gossip_digest(spark, d):
+    return _digests(spark, d).groupBy(F.col("o").alias("observer")).agg(F.count("*").alias("entries"), F.max("version").alias("newest"))
+
+
+@query("SELECT 'n' AS node_id, max(index) AS last_index, arg_max(term, index) AS last_term FROM leader UNION ALL SELECT 'empty', 0, 0", _RAFT_SQL)
+def raft_tail(spark, d):
+    return raftlog.tail(_leader(spark, d).withColumn("node_id", F.lit("n")), spark.createDataFrame([("n",), ("empty",)], "node_id string"))
+
+
+@query("SELECT 'n' AS node_id, w.index, w.term, w.index = 0 OR l.index IS NOT NULL AS found FROM (SELECT index, CASE WHEN index % 2 = 0 THEN term ELSE term + 1 END AS term FROM leader UNION ALL SELECT 0, 0) w LEFT JOIN leader l ON l.index = w.index AND l.term = w.term", _RAFT_SQL)
+def raft_contains(spark, d):
+    own = _leader(spark, d).withColumn("node_id", F.lit("n"))
+    wanted = own.select("node_id", "index", F.when(F.col("index") % 2 == 0, F.col("term")).otherwise(F.col("term") + 1).alias("term"))
+    return raftlog.contains(own, wanted.unionByName(spark.createDataFrame([("n", 0, 0)], "node_id string, index long, term long")))
+
+
+@query("SELECT index, term FROM leader WHERE index < 250", _RAFT_SQL)
+def raft_truncated(spark, d):
+    return raftlog.truncated(_leader(spark, d), 250).select("index", "term")
+
+
+@query("SELECT index FROM leader WHERE index % 10 = 1 AND index > 1", _RAFT_SQL)
+def raft_gaps(spark, d):
+    own = _leader(spark, d).withColumn("node_id", F.lit("n")).where("index % 10 <> 0")
+    return raftlog.gaps(own).select("index")
+
+
+@query("SELECT voter, pos, granted FROM (VALUES ('v', 0, false), ('v', 1, true), ('v', 2, true)) t(voter, pos, granted)")
+def raft_up_to_date(spark, d):
+    """A candidate's log against a voter's (term 2, index 5): older term; same term, same index; newer term, shorter."""
+    rows = spark.createDataFrame([("v", 0, 1, 9), ("v", 1, 2, 5), ("v", 2, 3, 1)], "voter string, pos int, term int, index int")
+    return rows.select("voter", "pos", raftlog.at_least_as_new(F.col("term"), F.col("index"), F.lit(2), F.lit(5)).alias("granted"))
+
+
+@query("SELECT 'body' AS kind, '[' || string_agg('{\"nodeId\":\"' || node_id || '\",\"host\":\"h\",\"port\":1,\"status\":\"ACTIVE\"}', ',' ORDER BY node_id) || ']' AS body FROM members WHERE status = 'ACTIVE'", _MEMBER_EVENTS_SQL)
+def admin_nodes(spark, d):
+    named = _members(spark, d).withColumn("host", F.lit("h")).withColumn("port", F.lit(1))
+    return membership.nodes_json(named).select(F.lit("body").alias("kind"), "body")

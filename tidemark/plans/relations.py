@@ -19,9 +19,13 @@ def millis(ts):
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations(table(spark, sf_dir, "events"))
+
+
+def mutations(events: DataFrame) -> DataFrame:
     """Mutations of user keys from events: errors delete; every third has no deadline; four runs."""
     gone = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"),
         F.when(~gone, F.concat_ws("|", "event_type", "props")).alias("value"),
         (F.col("event_id") + 1).alias("seq"),

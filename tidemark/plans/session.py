@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-shared-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
-    return found.rstrip("/")
+    return re.sub("^file:/(?!/)", "file:///", found).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
