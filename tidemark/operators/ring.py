@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import TOKEN_MASK, ring_token
+from tidemark.plans.session import cut
 
 VNODES = 150
 BUCKET_BITS = 10
@@ -72,8 +73,11 @@ def replica_lists(ring: DataFrame, n: int) -> DataFrame:
 
 
 def replicas(keys: DataFrame, ring: DataFrame, n: int) -> DataFrame:
-    """P5: keys with replicas, the first n distinct nodes clockwise; fewer on a small ring."""
-    return place(keys, replica_lists(ring, n), "replicas")
+    """P5: keys with replicas, the first n distinct nodes clockwise; fewer on a small ring.
+
+    The lists (a row for each token) are computed once, as whatever uses the placement tends to use it several times.
+    """
+    return place(keys, cut(replica_lists(ring, n)), "replicas")
 
 
 def replica_rows(keys: DataFrame, ring: DataFrame, n: int) -> DataFrame:
