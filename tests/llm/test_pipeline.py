@@ -60,3 +60,34 @@ def test_run(spark):
     assert sum(r.length for r in rows) > 10_000
 
 
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id string, label string, kept boolean, __row long, id long, words string"
+
+
+def odd_table(spark, rows, folder):
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()]
+    extra = ("r", "l", True, 1, 2, "w")
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, len(t), *extra) for i, t in enumerate(prose)]
+    rows += [(None, None, None, None, None, None, None, None, None, None, None), (None, None, "en", "s1", 0, *extra), (100, "", "en", "s1", 0, *extra), (101, "  \n", None, None, 3, *extra)]
+    rows += [rows[3], rows[3], (None, prose[4], "en", "s1", 9, *extra), (102, prose[5] * 40, "en", "s2", 9, *extra), (103, "word " * 30_000, "en", "s2", 9, *extra)]
+    sf = odd_table(spark, rows, tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        result = stage(spark, docs, sf)
+        assert name == "packing" or result.columns == docs.columns
+        result.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if name == "exact dedup":
+            texts = [r.text for r in docs.collect()]
+            assert len(texts) == len(set(texts)) and set(prose[:3]) <= set(texts)
+    assert docs.count() > 30 and docs.where("doc_id is null and length > 0").count() == docs.where("doc_id is null").count()
+
+
+def test_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, odd_table(spark, [], tmp_path)).count() == 0

@@ -80,3 +80,19 @@ def test_components_of_a_path(spark):
     got = {r.node: r.root for r in stars(edges).collect()}
     assert got == {i: 0 for i in range(1, 60)} | {101: 100}
     assert stars(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_blocks_lose_no_pair():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 60_000, dtype=np.uint64)
+    base = base[np.bitwise_count(base) == 32][:4000]
+    moved = base[:500].copy()
+    for k in range(500):  # two bits each way: the same count, four bits apart at most
+        ones, zeros = ([b for b in range(64) if (int(moved[k]) >> b & 1) == v] for v in (1, 0))
+        for b in [*rng.choice(ones, 2, replace=False), *rng.choice(zeros, 2, replace=False)]:
+            moved[k] ^= np.uint64(1 << int(b))
+    for left, right, radius in ((base, moved, 4), (moved, base, 2), (np.concatenate([base, moved]), base, 14), (base[:3], moved, 4)):
+        got = {(int(i), int(j)) for a, b in simhash.linked(left, right, radius) for i, j in zip(a, b, strict=True)}
+        want = {(i, int(j)) for i in range(len(left)) for j in np.flatnonzero(np.bitwise_count(left[i] ^ right) <= radius)}
+        assert got == want
+    assert list(simhash.linked(base[:0], base, 4)) == []
