@@ -109,6 +109,9 @@ def test_snapshots(spark, tmp_path):
     snapshot.write(spark.createDataFrame(rows[::-1], "key string, value string"), str(tmp_path), "s.snap")
     assert (tmp_path / "s.snap").read_bytes() == data
     assert sorted((r.key, r.value) for r in snapshot.read(spark, str(tmp_path / "s.snap")).collect()) == rows
+    many = spark.range(500).selectExpr("concat('k', id) as key", "'v' as value")
+    assert snapshot.write(many, str(tmp_path / "parts"), "p.snap", parts=4) > 1 and snapshot.read(spark, str(tmp_path / "parts")).count() == 500
+    assert snapshot.write(many.limit(0), str(tmp_path / "none"), "p.snap") == 0
 
 
 # Checksums

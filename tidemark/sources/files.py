@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.session import ship
@@ -70,3 +70,23 @@ def write_each(df: DataFrame, folder: str) -> int:
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
     return df.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_parts(df: DataFrame, columns: list[str], encode: Callable[[list[tuple]], bytes], folder: str, name: str, parts: int, by: Column | str) -> int:
+    """Writes df as files of ranges of a column, sorted by it; returns how many. A range must fit in one task's memory.
+
+    One part is called name; more have their number before its suffix. Empty parts have no file.
+    """
+    stem, dot, suffix = name.rpartition(".")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = [r for b in batches for r in zip(*(b[c].to_pylist() for c in columns), strict=True)]
+        if rows:
+            own = name if parts == 1 else f"{stem}-{TaskContext.get().partitionId():05d}{dot}{suffix}"
+            yield pa.RecordBatch.from_pydict({"name": [own], "content": [encode(rows)]})
+
+    ship(df.sparkSession)
+    dealt = df.repartition(1).sortWithinPartitions(by) if parts == 1 else df.repartitionByRange(parts, by).sortWithinPartitions(by)
+    return write_each(dealt.select(*columns).mapInArrow(run, "name string, content binary"), folder)

@@ -78,11 +78,9 @@ def encoded(mutations: DataFrame) -> DataFrame:
     return mutations.select("seq", codecs.log_entry(F.col("seq"), op, F.col("key"), value).alias("entry"))
 
 
-def append(mutations: DataFrame, folder: str, name: str) -> int:
-    """Writes one batch as one file, its entries in order of seq (a batch is what one flush makes durable); returns the number of files."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "entry")))
-    joined = F.aggregate(F.transform(rows, lambda x: x["entry"]), F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
-    return files.write_each(encoded(mutations).agg(joined.alias("content")).select(F.lit(name).alias("name"), "content").where("octet_length(content) > 0"), folder)
+def append(mutations: DataFrame, folder: str, name: str, parts: int = 1) -> int:
+    """Writes one batch, its entries in order of seq, as one file or as several ranges of seq; returns the number of files."""
+    return files.write_parts(encoded(mutations), ["entry"], lambda rows: b"".join(r[0] for r in rows), folder, name, parts, "seq")
 
 
 def compacted(mutations: DataFrame, upto: int) -> DataFrame:

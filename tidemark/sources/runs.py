@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import sort_key
 from tidemark.operators.order import numbered
-from tidemark.plans.session import ship
 from tidemark.sources import files
 
 # Fixed values of the format.
@@ -96,18 +95,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def write(resolved: DataFrame, folder: str, partitions: int = 1, created_ms: int = 0) -> int:
     """Resolved entries as run files, each a range of keys; returns how many files."""
-    ship(resolved.sparkSession)
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        rows = [r for b in batches for r in zip(*(b[c].to_pylist() for c in ("key", "value", "seq", "tombstone")), strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_pydict({"name": [f"run-{TaskContext.get().partitionId():05d}.sst"], "content": [encode(rows, created_ms)]})
-
-    dealt = resolved.select("key", "value", "seq", "tombstone").repartitionByRange(partitions, sort_key(F.col("key"), "utf16"))
-    return files.write_each(dealt.mapInArrow(run, "name string, content binary"), folder)
+    return files.write_parts(resolved, ["key", "value", "seq", "tombstone"], lambda rows: encode(rows, created_ms), folder, "run.sst", partitions, sort_key(F.col("key"), "utf16"))
 
 
 def sparse_index(resolved: DataFrame, every: int = EVERY) -> DataFrame:

@@ -7,9 +7,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.functions import codecs
 from tidemark.sources import files
 
 # Fixed values of the format.
@@ -52,11 +50,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.decoded(files.contents(spark, path), decode, "key string, value string").select("key", "value")
 
 
-def write(view: DataFrame, folder: str, name: str) -> int:
-    """One file of a (key, value) view, encoded by column functions; for views beyond a file's size write parts by key range."""
-    entry = F.concat(codecs.prefixed(F.col("key")), codecs.prefixed(F.col("value")))
-    rows = F.array_sort(F.collect_list(F.struct("key", entry.alias("entry"))))
-    body = F.aggregate(F.transform(rows, lambda x: x["entry"]), F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
-    head = F.concat(codecs.number(F.lit(MAGIC), 4), codecs.number(F.lit(VERSION), 4), codecs.number(F.count("*"), 8))
-    whole = view.agg(F.concat(head, body).alias("body")).select(F.concat("body", codecs.number(F.crc32("body"), 4)).alias("content"))
-    return files.write_each(whole.select(F.lit(name).alias("name"), "content"), folder)
+def write(view: DataFrame, folder: str, name: str, parts: int = 1) -> int:
+    """A (key, value) view as one file by key, or as several ranges of keys, each a snapshot of its own; returns the number of files."""
+    return files.write_parts(view, ["key", "value"], encode, folder, name, parts, "key")
