@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 END_ID = 2
-KEPT_PIECES = 400_000  # of a generation; two are kept
+KEPT_PIECES = 700_000  # of a generation; two are kept
 LONGEST_PIECE = 64
 
 _PLAIN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
