@@ -69,3 +69,40 @@ def test_query_equals_brute_force(spark):
 def test_tables_are_consistent():
     assert len(licenses.known()) == sum(map(len, licenses.SENTENCES.values()))
     assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES) and len(licenses.SENTENCES) <= len(licenses.SIGNS)
+
+
+USUAL = {
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n",
+    "MIT": "MIT License\n\nCopyright (c) 2024 The Authors\n\n" + full(*MIT),
+    "MIT-0": "MIT No Attribution\n\nCopyright 2024 The Authors\n\n" + full("mit-grant", "mit-warranty", "mit-liability").replace(", subject to\nthe following conditions:", "."),
+    "BSD-2-Clause": "Copyright (c) 2024, The Authors\nAll rights reserved.\n\n" + full(*BSD).replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in") + "\nTHIS SOFTWARE IS PROVIDED.",
+    "Apache-2.0": 'Copyright 2024 The Authors\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n'
+    'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n',
+    "GPL-3.0-or-later": "Copyright (C) 2024 The Authors\n\n" + full("gpl-free") + full("gpl-hope").rstrip(".\n") + "; " + full("gpl-fitness").replace("\n", " ") + full("gpl-details"),
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n",
+    "ISC": "Copyright (c) 2024 The Authors\n\n" + full("isc-grant"),
+    "GPL-3.0-only": "Licensed under the GNU General Public License, version 3.\n",
+    "GPL-2.0-only": "Licensed under the GNU General Public License, version 2.\n",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0\nInternational License.\n",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.\n",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0\nInternational License.\n",
+    "CC0-1.0": full("cc0"),
+    "Unlicense": full("unlicense"),
+}
+USUAL["BSD-3-Clause"] = USUAL["BSD-2-Clause"].replace("THIS SOFTWARE", "3. " + full("bsd-endorse") + "\nTHIS SOFTWARE")
+
+
+def names(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: [(x.licence, r.text[x.start : x.end]) for x in r.found] for r in rows}
+
+
+def test_usual_texts_of_all_licences(spark):
+    assert set(USUAL) == {name for name, _ in licenses.RULES}
+    wanted = list(USUAL)
+    got = names(spark, USUAL.values())
+    for i, name in enumerate(wanted):
+        assert got[i] and {n for n, _ in got[i]} == {name}, (name, got[i])
+    assert got[wanted.index("MPL-2.0")][0][1].endswith("v. 2.0")
+    other = [USUAL["MPL-2.0"].replace("v. 2.0", "v. 1.1"), USUAL["BSD-2-Clause"].replace("2. Redist", "2. Also no. Redist")]
+    assert names(spark, other) == {0: [], 1: []}

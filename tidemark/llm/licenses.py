@@ -1,6 +1,7 @@
 """Licence scan: sentences mapped to known identifiers, identifier sequences matched against ordered rules. DataFrame functions only.
 
-A text is cut into sentences (at ., !, ?, ; with white space after them, and at blank lines), each is normalised (lower case, runs of
+A text is cut into sentences (at ., !, ?, ; with white space after them, but not within 'v. 2.0', and at blank lines; a number or letter
+of a list alone is none), each is normalised (lower case, runs of
 anything but a-z and 0-9 as one space) and looked up among the known licence sentences, whole or by its first or last line (a heading may
 stand before it, or code follow). The identifiers of a document's sentences make a sequence, a sign each; the rules, longest first, are matched
 against it from left to right without overlaps. Only texts with a word that every known sentence set needs are cut; nothing is shuffled.
@@ -63,6 +64,11 @@ SENTENCES = {
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 
+# Further forms of sentences, by identifier, in the usual texts of licences; the SQL doesn't know them.
+VARIANTS = {
+    "mit-grant": [SENTENCES["mit-grant"][0].removesuffix(", subject to the following conditions:")],  # MIT-0
+}
+
 # Rules in order; at a place the first that matches is taken.
 RULES = [
     ("MIT", ["mit-name", "mit-grant", "mit-condition", "mit-warranty", "mit-liability"]),
@@ -92,6 +98,8 @@ RULES = [
 ]
 
 BOUNDARY = r"""[.!?;]+["')\]]*[ \t\n\x0B\f\r]+|\n[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*"""
+VERSION = r"(?<!\b[vV](?=\.[^A-Za-z0-9]{1,20}[0-9]))"  # not the stop of 'v. 2.0'
+MARKER = r"(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})"  # the number or letter of a condition
 NEEDED = r"(?i)licen[sc]e|permission|redistribut|copyright|warrant|law|public domain|free software"
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 OTHER = "-"
@@ -111,6 +119,11 @@ def known() -> dict[str, str]:
     return {normalised(s): sign for name, sign in signs().items() for s in SENTENCES[name]}
 
 
+def variants() -> dict[str, str]:
+    """The sign of each normalised further form."""
+    return {normalised(s): signs()[name] for name, forms in VARIANTS.items() for s in forms}
+
+
 def rules() -> list[tuple[str, str]]:
     """The sequence of signs and the licence of each rule."""
     return [("".join(signs()[i] for i in ids), name) for name, ids in RULES]
@@ -127,7 +140,7 @@ def _map(pairs: dict[str, str]) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """docs with found: array of licence, start and end (code points) in order."""
     text = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("\n\n"))  # so that the last sentence ends
-    table, licences = _map(known()), _map(dict(rules()))
+    table, licences = _map(known() | variants()), _map(dict(rules()))
 
     def unit(s: Column) -> Column:
         forms = F.array(s["gap"], F.substring_index(s["gap"], "\n", -1), F.substring_index(s["gap"], "\n", 1))
@@ -141,7 +154,7 @@ def scan(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    units = F.filter(F.transform(match_spans(text, BOUNDARY, gaps=True), unit), lambda u: u["words"] != "")
+    units = F.filter(F.transform(match_spans(text, VERSION + BOUNDARY, gaps=True), unit), lambda u: ~u["words"].rlike(f"^{MARKER}?$"))
 
     def matched(u: Column) -> Column:
         sequence = F.array_join(F.transform(u, lambda x: x["sign"]), "")
