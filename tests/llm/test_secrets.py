@@ -76,3 +76,12 @@ def test_empty_table_and_extra_columns(spark):
     assert secrets.scan(empty).count() == 0
     rows = secrets.scan(spark.createDataFrame([(None, "secret=abcdefg", "x"), (None, "secret=abcdefg", None)], "doc_id long, text string, start string")).collect()
     assert [len(r.base) for r in rows] == [1, 1] and {r.start for r in rows} == {"x", None}
+
+
+def test_secrets_after_long_paths_are_found(spark):
+    words, a, b = "/".join(secrets.IDENTIFIER_WORDS[:128:8]), "gT4vBn8RwYc3HsJd6Pa1", "Zk7Qw2Lm9Xc5Vb1Nj8Rt4Yp6"
+    texts = [f"see {words}/{a} é", f"{words}/{a}/{words}/{b}", f"é {words.replace('/', '_')}={b}", words, words.replace("/", "_") + "_17", f"x {a}/{words}/v2"]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.added] for r in rows}
+    assert got == {0: [a], 1: [a, b], 2: [b], 3: [], 4: [], 5: [a]}
+    assert all(s.log_ratio > secrets.THRESHOLD and s.ord == 3 for r in rows for s in r.added)

@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and two character Markov models compared by their log-likelihood ratio.
 
 One model is trained on random strings and one on ordinary identifiers, both from labelled samples; a candidate
-(a long run of key characters with letters and digits) is reported where the ratio favours the random strings.
+(a long run of key characters with letters and digits) is reported where the ratio favours the random strings; where that of the whole
+run doesn't, as in a long path before a secret, its best stretches are, out to the separators around them.
 Everything is DataFrame functions: the text is scanned once, and nothing is shuffled but the samples.
 
 Defined results: null text is the empty text and has no spans; rows with null or repeated doc_id are scanned like any other;
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import match_spans
+from tidemark.llm.columns import let, match_spans
 
 # The base patterns, their kinds in order, and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,7 +25,9 @@ HEX = r"[0-9a-f]{24,}"  # likewise
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_LEAST = 6
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+SEPARATORS = "/_=-"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = len(ALPHABET)  # the state before the first character
 THRESHOLD = 10.0  # nats
@@ -92,10 +95,56 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+def _table(model: list[float]) -> Column:
+    return F.expr(f"cast(split('{','.join(f'{x:.6f}' for x in model)}', ',') as array<double>)")
+
+
 def log_ratio(token: Column, model: list[float]) -> Column:
     """The log-likelihood ratio of a token; positive: like the random strings."""
-    table = F.expr(f"cast(split('{','.join(f'{x:.6f}' for x in model)}', ',') as array<double>)")
-    return F.aggregate(_pairs(token), F.lit(0.0), lambda acc, t: acc + F.element_at(table, (t + 1).cast("int")))
+    return F.aggregate(_pairs(token), F.lit(0.0), lambda acc, t: acc + F.element_at(_table(model), (t + 1).cast("int")))
+
+
+STRETCH = "array<struct<start:int,end:int,log_ratio:double>>"
+
+
+def stretches(token: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
+    """Array of (start, end, log_ratio) of the stretches of a token whose ratio is above the threshold, out to the separators around them.
+
+    A stretch ends at its highest ratio, and the next begins where the ratio has fallen to nothing or by the threshold.
+    Stretches that meet are one; those shorter than a candidate are left out.
+    """
+    table = _table(model)
+
+    def closed(acc: Column) -> Column:
+        found = F.struct(acc["first"].alias("start"), acc["last"].alias("end"), acc["peak"].alias("log_ratio"))
+        return F.when(acc["peak"] > threshold, F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
+
+    def state(s: Column, at: Column, first: Column, last: Column, peak: Column, out: Column) -> Column:
+        return F.struct(s.alias("s"), at.alias("at"), first.alias("first"), last.alias("last"), peak.alias("peak"), out.alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        def moved(s: Column) -> Column:
+            at, higher = acc["at"] + 1, s > acc["peak"]
+            fallen = (s <= 0) | (s < acc["peak"] - threshold)
+            on = state(s, at, acc["first"], F.when(higher, at).otherwise(acc["last"]), F.greatest(s, acc["peak"]), acc["out"])
+            return F.when(fallen, state(F.lit(0.0), at, at, at, F.lit(0.0), closed(acc))).otherwise(on)
+
+        return let(acc["s"] + F.element_at(table, (t + 1).cast("int")), moved)
+
+    def widened(x: Column) -> Column:
+        piece = lambda part, i: F.length(F.substring_index(F.translate(part, SEPARATORS, "/" * len(SEPARATORS)), "/", i))
+        before, after = F.substring(token, F.lit(1), x["start"]), F.substring(token, x["end"] + 1, F.length(token))
+        return F.struct((x["start"] - piece(before, -1)).alias("start"), (x["end"] + piece(after, 1)).alias("end"), x["log_ratio"].alias("log_ratio"))
+
+    def joined_on(acc: Column, x: Column) -> Column:
+        before = F.element_at(acc, -1)
+        both = F.struct(before["start"].alias("start"), F.greatest(before["end"], x["end"]).alias("end"), F.greatest(before["log_ratio"], x["log_ratio"]).alias("log_ratio"))
+        meet = F.when(F.size(acc) > 0, x["start"] <= before["end"]).otherwise(F.lit(False))
+        return F.when(meet, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x)))
+
+    none = F.array().cast(STRETCH)
+    found = F.aggregate(_pairs(token), state(F.lit(0.0), F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), none), step, closed)
+    return F.filter(F.aggregate(F.transform(found, widened), none, joined_on), lambda x: x["end"] - x["start"] >= LEAST)
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -113,8 +162,13 @@ def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = T
     mixed = lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]")
     out = docs.withColumn("base", base)
     free = F.filter(match_spans(text, CANDIDATE, mixed), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    scored = F.transform(free, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("ord"), c["end"].alias("end"), log_ratio(c["hit"], model).alias("log_ratio")))
-    return out.withColumn("added", F.filter(scored, lambda c: c["log_ratio"] > threshold))
+
+    def scored(c: Column) -> Column:
+        whole = lambda r: F.array(F.struct(F.lit(0).alias("start"), F.length(c["hit"]).alias("end"), r.alias("log_ratio")))
+        parts = let(log_ratio(c["hit"], model), lambda r: F.when(r > threshold, whole(r)).otherwise(stretches(c["hit"], model, threshold)))
+        return F.transform(parts, lambda x: F.struct((c["start"] + x["start"]).alias("start"), F.lit(3).alias("ord"), (c["start"] + x["end"]).alias("end"), x["log_ratio"].alias("log_ratio")))
+
+    return out.withColumn("added", F.flatten(F.transform(free, scored)))
 
 
 def joined(spans: Column) -> Column:
