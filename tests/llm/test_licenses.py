@@ -106,3 +106,22 @@ def test_usual_texts_of_all_licences(spark):
     assert got[wanted.index("MPL-2.0")][0][1].endswith("v. 2.0")
     other = [USUAL["MPL-2.0"].replace("v. 2.0", "v. 1.1"), USUAL["BSD-2-Clause"].replace("2. Redist", "2. Also no. Redist")]
     assert names(spark, other) == {0: [], 1: []}
+
+
+def test_lines_within_a_block_are_looked_up(spark):
+    spdx = "# SPDX-License-Identifier: MIT"
+    block = "/*\n * Copyright (c) 2024 The Authors\n *\n" + "\n".join((" * " + x).rstrip() for x in full(*MIT).split("\n")) + "\n */\nint x"
+    tight = full(*BSD, "bsd-endorse").replace(":\n\n", ":\n1. ").replace("\n\nRedistributions in", "\n2. Redistributions in").replace("\n\nNeither", "\n(3) Neither")
+    texts = [
+        f"# Copyright 2024 The Authors\n{spdx}\nimport os",
+        "The title\nMIT License\nCopyright 2024 The Authors",
+        "word\n" * 5000 + spdx + "\nx = 1" * 5000,
+        f"a = 1\n{spdx}\nb = 2\n# SPDX-License-Identifier: Apache-2.0\nc = 3",
+        block,
+        "Copyright 2024\n" + tight,
+        "not the MIT License\nSPDX-License-Identifier: MIT OR X\nx",
+        "a\n" + full("bsd-grant").strip() + "\nother words\n\n" + full("bsd-source", "bsd-binary"),
+    ]
+    got = names(spark, texts)
+    assert [[n for n, _ in got[i]] for i in range(len(texts))] == [["MIT"], ["MIT"], ["MIT"], ["MIT", "Apache-2.0"], ["MIT"], ["BSD-3-Clause"], [], []]
+    assert [got[i][0][1] for i in range(4)] == [spdx, "MIT License", spdx, spdx]

@@ -3,7 +3,8 @@
 A text is cut into sentences (at ., !, ?, ; with white space after them, but not within 'v. 2.0', and at blank lines; a number or letter
 of a list alone is none), each is normalised (lower case, runs of
 anything but a-z and 0-9 as one space) and looked up among the known licence sentences, whole or by its first or last line (a heading may
-stand before it, or code follow). The identifiers of a document's sentences make a sequence, a sign each; the rules, longest first, are matched
+stand before it, or code follow). Otherwise each line of it, and lines in a row that make a known sentence, are looked up, each with its own
+span. The identifiers of a document's sentences make a sequence, a sign each; the rules, longest first, are matched
 against it from left to right without overlaps. Only texts with a word that every known sentence set needs are cut; nothing is shuffled.
 
 Defined results: null text is the empty text and has no licence. Null or repeated doc_id are documents of their own. scan() keeps extra
@@ -100,6 +101,7 @@ RULES = [
 BOUNDARY = r"""[.!?;]+["')\]]*[ \t\n\x0B\f\r]+|\n[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*"""
 VERSION = r"(?<!\b[vV](?=\.[^A-Za-z0-9]{1,20}[0-9]))"  # not the stop of 'v. 2.0'
 MARKER = r"(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})"  # the number or letter of a condition
+END = "\x01"  # put behind a unit, to get the text after its last known line
 NEEDED = r"(?i)licen[sc]e|permission|redistribut|copyright|warrant|law|public domain|free software"
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 OTHER = "-"
@@ -129,6 +131,13 @@ def rules() -> list[tuple[str, str]]:
     return [("".join(signs()[i] for i in ids), name) for name, ids in RULES]
 
 
+def lines() -> str:
+    """A pattern of known sentences that begin and end with a line, or after a colon that opens a list; a list marker may stand before."""
+    words = sorted(known() | variants(), key=len, reverse=True)
+    sentences = "|".join(w.replace(" ", "[^A-Za-z0-9]++") for w in words)
+    return rf"(?imd)(?:^|(?<=conditions:|met:))[^A-Za-z0-9\n]*+(?:{MARKER}[^A-Za-z0-9\n]++)?(?:{sentences})(?![A-Za-z0-9])[^A-Za-z0-9\n]*(?:$|(?<=:)(?=\s))"
+
+
 def _normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
@@ -142,19 +151,36 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("\n\n"))  # so that the last sentence ends
     table, licences = _map(known() | variants()), _map(dict(rules()))
 
+    def sign(words: Column) -> Column:
+        return F.coalesce(F.element_at(table, words), F.element_at(table, F.regexp_replace(words, f"^{MARKER} ", "")), F.lit(OTHER))
+
+    def item(start: Column, end: Column, sign: Column, words: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), sign.alias("sign"), words.alias("words"))
+
+    def by_lines(s: Column, whole: Column) -> Column:
+        """The known lines of a unit and what lies between them; the unit if that is one at its beginning or end, or none."""
+        start = s["start"] - F.length(s["gap"])
+
+        def pair(h: Column) -> Column:
+            at, words = start + h["start"], _normalised(h["hit"])
+            return F.array(item(at - F.length(h["gap"]), at, F.lit(OTHER), _normalised(h["gap"])), item(at, start + h["end"], sign(words), words))
+
+        hits = match_spans(F.concat(s["gap"], F.lit("\n" + END)), lines() + "|" + END, gaps=True)
+        one = lambda h: (F.size(h) == 2) & (whole["sign"] != OTHER)
+        return F.when(s["gap"].rlike(lines()), let(hits, lambda h: F.when(one(h), F.array(whole)).otherwise(F.flatten(F.transform(h, pair))))).otherwise(F.array(whole))
+
     def unit(s: Column) -> Column:
         forms = F.array(s["gap"], F.substring_index(s["gap"], "\n", -1), F.substring_index(s["gap"], "\n", 1))
-        return let(
-            F.transform(forms, _normalised),
-            lambda n: F.struct(
-                (s["start"] - F.length(s["gap"])).alias("start"),
-                s["start"].alias("end"),
-                F.coalesce(*[F.element_at(table, F.element_at(n, i)) for i in (1, 2, 3)], F.lit(OTHER)).alias("sign"),
-                F.element_at(n, 1).alias("words"),
-            ),
-        )
-
-    units = F.filter(F.transform(match_spans(text, VERSION + BOUNDARY, gaps=True), unit), lambda u: ~u["words"].rlike(f"^{MARKER}?$"))
+        start = s["start"] - F.length(s["gap"])
+
+        def looked_up(n: Column) -> Column:
+            whole = item(start, s["start"], F.coalesce(*[F.element_at(table, F.element_at(n, i)) for i in (1, 2, 3)], F.lit(OTHER)), F.element_at(n, 1))
+            return F.when(F.element_at(table, F.element_at(n, 1)).isNotNull(), F.array(whole)).otherwise(let(whole, lambda w: by_lines(s, w)))
+
+        return let(F.transform(forms, _normalised), looked_up)
+
+    units = F.flatten(F.transform(match_spans(text, VERSION + BOUNDARY, gaps=True), unit))
+    units = F.filter(units, lambda u: ~u["words"].rlike(f"^{MARKER}?$"))
 
     def matched(u: Column) -> Column:
         sequence = F.array_join(F.transform(u, lambda x: x["sign"]), "")
