@@ -96,3 +96,14 @@ def test_blocks_lose_no_pair():
         want = {(i, int(j)) for i in range(len(left)) for j in np.flatnonzero(np.bitwise_count(left[i] ^ right) <= radius)}
         assert got == want
     assert list(simhash.linked(base[:0], base, 4)) == []
+
+
+def test_repeated_doc_ids_with_different_texts(spark):
+    one, two, three = "the first of these texts is about rivers", "a second one that tells of mountains and snow", "third of all and unlike the others here"
+    rows = [(1, one), (1, two), (2, two.upper()), (3, three), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(1, one), (1, two), (3, three)])
+    got = sorted((str(r.doc_id), r.label) for r in simhash.classes(docs).collect())
+    assert got == [("1", 1), ("1", 1), ("2", 1), ("3", 3), ("None", 1)]
+    # texts apart that share doc_id 1, each with a neighbour of its own: two components of fingerprints
+    assert simhash._rooted(simhash.fingerprints(docs), 4, 20).select("root").distinct().count() == 3

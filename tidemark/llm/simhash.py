@@ -12,7 +12,8 @@ Cells bound what a task holds to two tiles at any size.
 
 Defined results: null text is the empty text; a text without words has fingerprint zero, linked like any other. Fewer than four
 words are one shingle. Rows whose doc_id is null take part; a class of such rows only has a null id. doc_id must be under 2**62.
-Repeated rows share a class. Extra columns are kept by keep_one(). An empty table gives an empty result.
+Repeated rows share a class. Rows with a repeated doc_id and different texts are documents of their own: their classes stay apart
+unless their fingerprints are linked, though both may show that doc_id as their least. Extra columns are kept by keep_one(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 TILE = 262_144  # nodes of a tile, about
-NO_ID = 1 << 62  # nodes from here on stand for fingerprints without doc_id; those that share one are within two bits
+NO_ID = 1 << 62  # labels from here on stand for classes without doc_id; fingerprints that share one are within two bits
 _ROWS, _COLS, _PAIRS, _GROUP = 64, 4096, 2_000_000, 24
 
 
@@ -178,19 +179,27 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return dealt.groupBy("t1", "t2").applyInArrow(_cell(radius), "a long, b long")
 
 
+def _rooted(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """fp, root (the least fingerprint of the component) and id (the least doc_id of the fingerprint) of the fingerprints of rows."""
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    roots = stars(links(nodes.select("fp", F.col("fp").alias("node")), radius, tile)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "id")
+
+
 def classes(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """row_id, doc_id, fp, label for each row of docs (doc_id, text); the label is the least doc_id of the class, from NO_ID on: none."""
     rows = fingerprints(docs)
-    stand_in = F.lit(NO_ID) + F.shiftrightunsigned("fp", 2)
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).withColumn("node", F.coalesce("node", stand_in)))
-    roots = stars(links(nodes, radius, tile))
-    labels = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("label"))
-    return rows.join(labels, "fp").select("row_id", "doc_id", "fp", "label")
+    rooted = cut(_rooted(rows, radius, tile))
+    stand_in = F.lit(NO_ID) + F.shiftrightunsigned("root", 2)
+    least = rooted.groupBy("root").agg(F.min("id").alias("least")).select("root", F.coalesce("least", stand_in).alias("label"))
+    return rows.join(rooted.join(least, "root").select("fp", "label"), "fp").select("row_id", "doc_id", "fp", "label")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with all their columns, that have the smallest doc_id of their class (one row if that is repeated)."""
     rows = identified(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
-    first = classes(rows, radius).groupBy("label").agg(F.min_by(F.struct("row_id", F.col("doc_id").alias("id")), order).alias("first"))
+    prints = fingerprints(rows)
+    rooted = prints.join(_rooted(prints, radius, TILE).select("fp", "root"), "fp")
+    first = rooted.groupBy("root").agg(F.min_by(F.struct("row_id", F.col("doc_id").alias("id")), order).alias("first"))
     return chosen_rows(rows, first.select("first.*")).select(*docs.columns)
