@@ -45,3 +45,16 @@ def test_several_centroids_and_order():
     assert 2 < len(m.languages) <= 2 * langid.CLUSTERS and np.allclose(np.linalg.norm(m.centroids, axis=1), 1, atol=1e-5)
     assert m.predict(matrix)[0] == [x for x, _ in texts]
     assert langid.counts("é" * 70_000 + " x").sum() > 70_000
+
+
+def test_sample_size_does_not_hang_on_doc_id(spark, monkeypatch):
+    texts = {"en": "the and that then of with", "de": "der die und ein mit von"}
+    sizes = []
+    fit = langid.Model.fit
+    monkeypatch.setattr(langid.Model, "fit", lambda languages, matrix: sizes.append({x: languages.count(x) for x in texts}) or fit(languages, matrix))
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == langid.HELD_OUT)
+    for doc_id in ("null", "7", str(held)):
+        for text in ("concat(t, ' ', id)", "t"):  # texts of their own, or one text a language
+            docs = spark.range(2000).selectExpr(f"cast({doc_id} as long) AS doc_id", "id", f"explode(map('en', '{texts['en']}', 'de', '{texts['de']}')) AS (lang, t)").selectExpr("doc_id", "lang", f"{text} AS text")
+            langid.fit(docs, 100)
+            assert all(50 <= n <= 150 for n in sizes[-1].values()), (doc_id, text, sizes[-1])

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.columns import identified
 from tidemark.plans.session import ship
 
 UNKNOWN = "und"
@@ -132,16 +133,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from the text and lang of the rows of docs (doc_id, text, lang) that are not held out."""
+    """Learns from the text and lang of the rows of docs (doc_id, text, lang) that are not held out, of about sample rows a language.
+
+    Rows are chosen by their own place (see identified) with doc_id and text, so that a null or repeated doc_id changes nothing. A language
+    whose rows are all held out, as under a single doc_id, is learnt from those.
+    """
     ship(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("string").alias("key"), "text", "lang")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    labelled = identified(docs.where("lang is not null")).withColumn("out", held_out(F.col("doc_id")))
+    counted = {r.lang: (r.n, r.own) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("out")).alias("own")).collect()}
+    sizes = {lang: own or n for lang, (n, own) in counted.items()}
+    known = labelled.where(~F.col("out") | F.col("lang").isin([lang for lang, (_, own) in counted.items() if not own])).select(F.col("doc_id").cast("string").alias("key"), "text", "lang", "__row")
     if not sizes:
         return Model.fit([], np.zeros((0, FEATURES), np.int64))
     steps = 1 << 20
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(steps, -(-sample * steps // n)))])
-    hashed = F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), F.lit(11)), F.lit(steps))
-    chosen = known.where(hashed < F.element_at(rate, F.col("lang")))
+    hashed = F.pmod(F.xxhash64("key", "text", "__row", F.lit(11)), F.lit(steps))
+    chosen = known.where(hashed < F.element_at(rate, F.col("lang"))).drop("__row")
     rows = sorted(chosen.mapInArrow(_features, "key string, lang string, counts binary").collect(), key=lambda r: (r.lang, r.key or "", bytes(r.counts)))
     matrix = np.frombuffer(b"".join(bytes(r.counts) for r in rows), "<u4").reshape(-1, FEATURES)
     return Model.fit([r.lang for r in rows], matrix)
