@@ -11,6 +11,7 @@ import struct
 import numpy as np
 
 SAMPLE = 512
+CHUNK = 8192  # values packed at once; a multiple of 8, so that each begins a byte
 _HEADER = struct.Struct("<QQBxxxIII")  # length, least value, low bits, bytes of low, high, samples
 
 
@@ -27,7 +28,8 @@ class EliasFano:
         top = int(v[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
         shifts = np.arange(low_bits, dtype=np.uint64)
-        low = np.packbits(((v[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little")
+        packed = [np.packbits(((v[at : at + CHUNK, None] >> shifts) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") for at in range(0, n, CHUNK)]
+        low = np.concatenate(packed) if packed else np.zeros(0, np.uint8)
         ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(-(-((top >> low_bits) + n + 1) // 64) * 64, np.uint8)
         bits[ones] = 1

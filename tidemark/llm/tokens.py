@@ -3,7 +3,9 @@
 Both kinds of tokenizer that this serves cut a text at white space before they look at anything else, so the ids of a text are
 those of its pieces in a row. A piece of plain letters, or letters and a few marks after them, is one or two of the tokenizer's
 words and goes to its model at once; any other piece goes through the whole tokenizer. Texts with white space other than space,
-tab and line ends, on whose extent the library and Python may differ, are encoded in one go.
+tab and line ends, on whose extent the library and Python may differ, or with the string of a special token are encoded in one go.
+
+What is kept is bounded by bytes, whatever the texts hold.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from array import array
 import numpy as np
 
 END_ID = 2
-KEPT_PIECES = 700_000  # of a generation; two are kept
+KEPT_BYTES = 64_000_000  # of a generation of pieces, about; two are kept
+KEPT_MARKS = 4096
 LONGEST_PIECE = 64
+_ENTRY = 200  # bytes of a kept piece besides its letters and ids
 
 _PLAIN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _RUNS = ("\t", "\r", "  ", " \n", "\n ", "\n\n")
@@ -46,15 +50,22 @@ class Kept(dict):
 
     def __init__(self, encoder: Encoder, space: str = ""):
         super().__init__()
-        self.encoder, self.space, self.old = encoder, space, {}
+        self.encoder, self.space, self.old, self.held = encoder, space, {}, 0
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= LONGEST_PIECE:
+            if self.held > KEPT_BYTES:
+                self.old = {}  # freed before the next copy is made
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[piece] = ids
+            self.held += _ENTRY + len(piece) + len(ids)
+        return ids
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.old = dict(self)
-            self.clear()
         if piece in self.old:
-            ids = self[piece] = self.old[piece]
-            return ids
+            return self._keep(piece, self.old[piece])
         letters = _LETTERS.fullmatch(piece)
         if not letters:
             ids = self.encoder.whole(self.space + piece)
@@ -65,22 +76,24 @@ class Kept(dict):
                 return ids
         else:
             ids = self.encoder.word(self.space + piece)
-        if len(piece) <= LONGEST_PIECE:
-            self[piece] = ids
-        return ids
+        return self._keep(piece, ids)
 
 
 class Encoder:
-    """ids(text) as bytes of little-endian numbers, dtype wide."""
+    """ids(text) as bytes of little-endian numbers, dtype wide.
+
+    plain_specials: the strings of special tokens in a text are ordinary text; else each is its token's id, as the library has it.
+    """
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.path.sep in name else public_path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         narrow = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self._code = np.dtype("<u2" if narrow else "<u4"), "H" if narrow else "I"
         self.model, self._letters = self.tokenizer.model, byte_letters()
@@ -90,19 +103,22 @@ class Encoder:
         self.line_end = b"" if self.lower else self.whole("\n")
 
     @classmethod
-    def of(cls, name: str) -> Encoder:
-        """One encoder per worker process and name."""
-        if name not in cls._made:
-            cls._made[name] = cls(name)
-        return cls._made[name]
+    def of(cls, name: str, plain_specials: bool = False) -> Encoder:
+        """One encoder per worker process, name and way with special tokens."""
+        key = (name, plain_specials)
+        if key not in cls._made:
+            cls._made[key] = cls(*key)
+        return cls._made[key]
 
     def whole(self, text: str) -> bytes:
         """The whole tokenizer's ids."""
         return array(self._code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def marks(self, piece: str) -> bytes:
+        if len(piece) > LONGEST_PIECE:
+            return self.whole(piece)
         if piece not in self._marks:
-            if len(self._marks) >= KEPT_PIECES // 100:
+            if len(self._marks) >= KEPT_MARKS:
                 self._marks.clear()
             self._marks[piece] = self.whole(piece)
         return self._marks[piece]
@@ -120,7 +136,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or any(map(text.__contains__, self.specials)):
             return self.whole(text)
         if self.lower:
             return b"".join(map(self.plain.__getitem__, text.split()))
