@@ -5,11 +5,13 @@ pieces that fit, the one whose demands have the largest dot product with what is
 to what is left, and its rest goes back. A sequence that ends short of the limit, at the end of the input or for its segments, is
 cut into sequences whose lengths are powers of two, which need no padding.
 
-Each task packs what it reads, from a pool of bounded size: nothing is shuffled, a lost task packs the same rows again to the same
-sequences, and what is held does not grow with the input.
+Each task packs what it reads, from a pool bounded in tokens and documents: nothing is shuffled, a lost task packs the same rows again to
+the same sequences, and what is held does not grow with the input. Pieces of equal demands are one kind, of which any will do, so that
+the work of a step doesn't grow with the number of short documents that wait.
 
 Defined results: null text is the empty text, a document of the end id alone. Null or repeated doc_id are documents of
-their own. Other columns are ignored. An empty table gives no pieces.
+their own. Of pieces with the same product the kind that came first is taken, and of a kind the piece that came last. The string of a special
+token in a text is that token's id, or ordinary text if plain_specials is set. Other columns are ignored. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from tidemark.plans.session import ship
 LENGTH = 4096
 TOKENIZER = "word_bpe_49k.json"
 POOL_TOKENS = 1_000_000
+POOL_DOCS = 50_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long, segment long"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -35,67 +38,81 @@ _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 @dataclass(frozen=True)
 class Limits:
     tokens: int = LENGTH
-    segments: int = 512
+    segments: int = 12
     loss: int = LENGTH
 
 
 class Packer:
-    """Places documents (doc_id, ids, number of prompt ids, which bear no loss) and yields finished sequences."""
+    """Places documents (doc_id, ids, number of prompt ids, which bear no loss) and yields finished sequences.
 
-    def __init__(self, limits: Limits, pool_tokens: int = POOL_TOKENS):
+    What waits is kept by demands: pieces of as many tokens and loss-bearing tokens are one kind, so that a step costs by the kinds
+    that wait, not by the pieces. There are never more than pool_tokens (and one document) or pool_docs of them.
+    """
+
+    def __init__(self, limits: Limits, pool_tokens: int = POOL_TOKENS, pool_docs: int = POOL_DOCS):
         assert limits.tokens > 0 and limits.tokens & (limits.tokens - 1) == 0, "a power of two"
         assert limits.segments > 0 and limits.loss > 0
-        self.limits, self.pool_tokens = limits, pool_tokens
-        self.docs: list[tuple | None] = []  # (doc_id, ids, prompt), None once all is placed
-        self.start = np.zeros(0, np.int64)
-        self.end = np.zeros(0, np.int64)
-        self.prompt = np.zeros(0, np.int64)
-        self.waiting, self.new = 0, []
+        self.limits, self.pool_tokens, self.pool_docs = limits, pool_tokens, pool_docs
+        self.kinds: dict[tuple[int, int], int] = {}  # tokens and loss-bearing tokens: place in the arrays
+        self.pieces: list[list[tuple]] = []  # of each kind: (document, start)
+        self.demand, self.count = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+        self.waiting, self.docs, self.new = 0, 0, []
 
     def add(self, doc_id: int | None, ids: np.ndarray, prompt: int = 0) -> Iterator[list[tuple]]:
         self.new.append((doc_id, ids, prompt))
         self.waiting += len(ids)
-        if self.waiting > self.pool_tokens:
-            yield from self._pack(self.pool_tokens // 2)
+        self.docs += 1
+        if self.waiting > self.pool_tokens or self.docs > self.pool_docs:
+            yield from self._pack(self.pool_tokens // 2, self.pool_docs // 2)
 
     def finish(self) -> Iterator[list[tuple]]:
-        yield from self._pack(0)
+        yield from self._pack(0, 0)
 
     def _take_in(self) -> None:
-        open_ = np.flatnonzero(self.end > self.start)
-        self.docs = [self.docs[i] for i in open_.tolist()] + self.new
-        grow = lambda old, values: np.concatenate([old[open_], np.array(values, np.int64)])
-        self.start, self.end, self.prompt = grow(self.start, [0] * len(self.new)), grow(self.end, [len(x[1]) for x in self.new]), grow(self.prompt, [x[2] for x in self.new])
-        self.new = []
-
-    def _piece(self, i: int, n: int) -> tuple:
-        """Takes the next n ids of document i from the pool: (document, start, end)."""
-        at = int(self.start[i])
-        self.start[i] += n
-        self.waiting -= n
-        return self.docs[i], at, at + n
-
-    def _pack(self, until: int) -> Iterator[list[tuple]]:
+        """Puts new documents with what waits; kinds that none waits of any more are forgotten."""
+        by_kind = {kind: self.pieces[k] for kind, k in self.kinds.items() if self.pieces[k]}
+        for doc in self.new:
+            n = len(doc[1])
+            by_kind.setdefault((n, n - min(doc[2], n)), []).append((doc, 0))
+        self.new, self.pieces = [], list(by_kind.values())
+        self.kinds = {kind: k for k, kind in enumerate(by_kind)}
+        self.demand = np.array(list(by_kind), np.int64).reshape(-1, 2).T.copy()
+        self.count = np.array([len(p) for p in self.pieces], np.int64)
+
+    def _put_back(self, kind: tuple[int, int], piece: tuple) -> None:
+        k = self.kinds.setdefault(kind, len(self.pieces))
+        if k == len(self.pieces):
+            self.pieces.append([])
+            self.demand, self.count = np.append(self.demand, np.array([kind]).T, axis=1), np.append(self.count, 0)
+        self.pieces[k].append(piece)
+        self.count[k] += 1
+        self.docs += 1
+
+    def _pack(self, until: int, until_docs: int) -> Iterator[list[tuple]]:
         self._take_in()
         lim = self.limits
-        while self.waiting > until:
+        while self.waiting > until or self.docs > until_docs:
             tokens, segments, loss, placed = lim.tokens, lim.segments, lim.loss, []
             while tokens and segments and loss and self.waiting:
-                left = self.end - self.start
-                bearing = self.end - np.maximum(self.start, np.minimum(self.prompt, self.end))
-                fits = (left > 0) & (left <= tokens) & (bearing <= loss)
-                if fits.any():
-                    # Each demand and what is left of its limit as shares of the limit; a segment is one demand for any piece.
-                    score = left * (tokens / lim.tokens**2) + bearing * (loss / lim.loss**2) + segments / lim.segments**2
-                    i = int(np.argmax(np.where(fits, score, -1.0)))
-                    n, b = int(left[i]), int(bearing[i])
-                else:
-                    i = int(np.argmax(left))
-                    free = max(0, int(self.prompt[i] - self.start[i]))
-                    n = min(int(left[i]), tokens, free + loss)
-                    b = max(0, n - free)
-                placed.append(self._piece(i, n))
-                tokens, segments, loss = tokens - n, segments - 1, loss - b
+                left, bearing = self.demand
+                # Each demand and what is left of its limit as shares of the limit; a segment is one demand for any piece.
+                score = left * (tokens / lim.tokens**2) + bearing * (loss / lim.loss**2) + segments / lim.segments**2
+                score[(self.count == 0) | (left > tokens) | (bearing > loss)] = -1.0
+                k = int(score.argmax())
+                if score[k] < 0:  # none fits: the largest is cut
+                    k = int(np.where(self.count > 0, left, -1).argmax())
+                n, b = int(left[k]), int(bearing[k])
+                doc, at = self.pieces[k].pop()
+                self.count[k] -= 1
+                self.docs -= 1
+                free = n - b
+                take = min(n, tokens, free + loss)
+                borne = max(0, take - free)
+                if take < n:
+                    self._put_back((n - take, b - borne), (doc, at + take))
+                self.waiting -= take
+                placed.append((doc, at, at + take))
+                tokens, segments, loss = tokens - take, segments - 1, loss - borne
             yield from self._finished(placed)
 
     def _finished(self, placed: list[tuple]) -> Iterator[list[tuple]]:
@@ -117,11 +134,11 @@ class Packer:
             yield out
 
 
-def _pack(tokenizer: str, limits: Limits, has_prompt: bool):
+def _pack(tokenizer: str, limits: Limits, has_prompt: bool, plain_specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = Encoder.of(tokenizer), Packer(limits)
+        encoder, packer = Encoder.of(tokenizer, plain_specials), Packer(limits)
         end = np.array([END_ID], encoder.dtype).tobytes()
         number, rows, held = TaskContext.get().partitionId() << 32, [], 0
 
@@ -153,7 +170,7 @@ def _pack(tokenizer: str, limits: Limits, has_prompt: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limits: Limits | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limits: Limits | None = None, plain_specials: bool = False) -> DataFrame:
     """The pieces of docs (doc_id, text, and perhaps prompt, put before the text, whose tokens bear no loss).
 
     ids: the piece's ids as little-endian unsigned 32-bit numbers; doc_tokens: those of its whole document, with the end id.
@@ -162,4 +179,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limits: Limits | None = No
     has_prompt = "prompt" in docs.columns
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     rows = docs.select(*columns, *([F.col("prompt").cast("string").alias("prompt")] if has_prompt else []))
-    return rows.mapInArrow(_pack(tokenizer, limits or Limits(), has_prompt), SCHEMA)
+    return rows.mapInArrow(_pack(tokenizer, limits or Limits(), has_prompt, plain_specials), SCHEMA)
