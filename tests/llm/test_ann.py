@@ -50,6 +50,32 @@ def test_odd_vectors_ties_and_repeats(spark):
     assert [i for _, i, _ in sorted(got[1050])] == [1000, 1001, 1002, 1003, 1004]
 
 
+def test_too_few_found_are_looked_for_in_all_parts(spark):
+    """Two far groups and parts of their own: three candidates are all that a query's part holds, and the rest comes from the other one."""
+    rng = np.random.default_rng(2)
+    rows = [(50 * i, [1.0, 0.001 * i, 0.0, 0.0]) for i in range(4)] + [(50 * i + 1, [0.0, 0.0, 1.0, float(x)]) for i, x in enumerate(rng.normal(0, 0.01, 200))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, cover=1e-9, parts=8).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(rows, lambda i: i % 50 == 0)
+    assert set(got) == set(want) and all(len(g) == 5 for g in got.values())
+    for q in (0, 50, 100, 150):
+        assert {0, 50, 100, 150} - {q} <= {i for _, i in got[q]}
+
+
+def test_a_hot_part_is_split_by_its_own_size(spark):
+    rows = [(i, [1.0, 1e-6 * i, 0.0]) for i in range(900)] + [(1000 + i, [0.0, 0.01 * i, 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    routed = df.selectExpr("vec_id AS row_id", "vec_id", "embedding AS vec", "int(vec_id >= 1000) AS part")
+    dealt, sizes = ann._dealt(routed, 100)
+    assert {r.part: r.blocks for r in sizes.collect()} == {0: 9, 1: 1}
+    assert max(r["count"] for r in dealt.groupBy("part", "sub").count().collect()) < 160
+    got = {(r.query_id, r["rank"]): r.score for r in ann.search(df, F.col("vec_id") % 50 == 0, cover=1.1, block=100, query_block=7).collect()}
+    want = {(q, k + 1): -s for q, lists in brute(rows, lambda i: i % 50 == 0).items() for k, (s, _) in enumerate(lists[0])}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
 def test_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.search(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0

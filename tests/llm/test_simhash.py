@@ -50,8 +50,8 @@ def test_edge_cases(spark):
     for r in got:
         if r.doc_id is not None:
             assert np.uint64(r.fp & (2**64 - 1)) == brute_fingerprint(texts[r.doc_id])
-    label = {r.doc_id: r.label for r in got}
-    assert label[0] == label[1] == label[2] == 0 and label[4] == 3 and label[7] == 6 and label[None] >= simhash.NO_ID
+    label = {r.doc_id: r.component_id for r in got}
+    assert label[0] == label[1] == label[2] == 0 and label[4] == 3 and label[7] == 6 and label[None] is None
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(1)).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(["0", "3", "5", "6", "8", "9", "None"]) and len(kept[0]) == 3
     assert simhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -103,7 +103,15 @@ def test_repeated_doc_ids_with_different_texts(spark):
     rows = [(1, one), (1, two), (2, two.upper()), (3, three), (None, one)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(1, one), (1, two), (3, three)])
-    got = sorted((str(r.doc_id), r.label) for r in simhash.classes(docs).collect())
-    assert got == [("1", 1), ("1", 1), ("2", 1), ("3", 3), ("None", 1)]
+    rows = simhash.classes(docs).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in rows) == [("1", 1), ("1", 1), ("2", 1), ("3", 3), ("None", 1)]
     # texts apart that share doc_id 1, each with a neighbour of its own: two components of fingerprints
-    assert simhash._rooted(simhash.fingerprints(docs), 4, 20).select("root").distinct().count() == 3
+    assert len({r.root for r in rows}) == 3
+
+
+def test_ids_of_all_64_bits(spark):
+    ids = [2**62, 2**62 + 5, 2**63 - 1, -(2**63), -7]
+    docs = spark.createDataFrame([(i, f"text of the {k}-th kind that no other row has {k * k}") for k, i in enumerate(ids)] + [(2**63 - 2, "text of the 2-th kind that no other row has 4")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.classes(docs).collect()}
+    assert got == {i: i for i in ids} | {2**63 - 1: 2**63 - 2, 2**63 - 2: 2**63 - 2}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {*ids[:2], *ids[3:], 2**63 - 2}

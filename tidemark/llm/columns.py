@@ -19,28 +19,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """docs with __row, a number for each row that stays the same when docs is read again, in whatever parts.
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores added as no column has (in either case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    For tables in files it is a hash of the file and the place in it (joins should also compare doc_id); any other DataFrame is
-    numbered and kept in the shared folder.
-    """
-    docs = docs.drop("__row")
-    try:
-        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
 
+def exactly(name: str) -> Column:
+    """The column of that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-def row_number(docs: DataFrame) -> Column:
-    """__row if docs has it, else a number of the row that holds for one reading."""
-    return F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
 
+def identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a number for each row that stays the same when docs is read again, in whatever parts.
 
-def chosen_rows(docs: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The identified docs joined to chosen (row_id, id, ...) by row and doc_id."""
-    same = (docs["__row"] == chosen["row_id"]) & docs["doc_id"].cast("long").eqNullSafe(chosen["id"])
-    return docs.join(chosen, same, how)
+    For tables in files it is a hash of the file and the place in it (joins should also compare doc_id); any other DataFrame is
+    numbered and kept in the shared folder.
+    """
+    (name,) = unused(docs.columns, "__row")
+    if "_metadata" not in (c.lower() for c in docs.columns):
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)), name
+        except AnalysisException:
+            pass
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def row_number(row: str | None) -> Column:
+    """The column of that name, else a number of the row that holds for one reading."""
+    return exactly(row) if row else F.monotonically_increasing_id()
+
+
+def chosen_rows(docs: DataFrame, row: str, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the identified docs (row: the name of the number) in the rows that chosen (row_id, id) has."""
+    own_row, own_id = unused([*docs.columns, "doc_id"], "row_id", "id")
+    chosen = chosen.select(F.col("row_id").alias(own_row), F.col("id").alias(own_id))
+    same = (exactly(row) == F.col(own_row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own_id))
+    return docs.join(chosen, same, "left_semi").select(*map(exactly, columns))
 
 
 def word_count(text: Column) -> Column:

@@ -7,7 +7,7 @@ meet the historical winner, nonmembers are groups of their own. Without a given
 its own digests first.
 
 Defined results: null text is the empty text. Of equal texts the row with the largest doc_id stays; a null doc_id
-is below all others; among rows with the same doc_id and text, one stays. Extra columns are kept. An empty table
+is below all others; among rows with the same doc_id and text, one stays. Extra columns are kept, whatever their names. An empty table
 gives an empty result.
 """
 
@@ -27,11 +27,11 @@ INDEX_SCHEMA = "shard long, n long, sizes binary, bits binary, tail binary, dige
 FOUND_SCHEMA = "digest binary, member boolean, keep_id long, keep_row long, group_size long"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id and the SHA-256 digest of each whole text; computed once."""
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row_id, doc_id and the SHA-256 digest of each whole text; computed once. row: the column that numbers the rows."""
     return cut(
         docs.select(
-            row_number(docs).alias("row_id"),
+            row_number(row).alias("row_id"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest"),
         )
@@ -116,12 +116,12 @@ def _probe(own_history: bool):
     return probe
 
 
-def decide(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def decide(docs: DataFrame, history: DataFrame | None = None, row: str | None = None) -> DataFrame:
     """row_id, doc_id, keep_id, group_size, kept, digest, in_history for each row of docs (doc_id, text).
 
     history: documents seen before (doc_id, text); the group sizes count them. None: docs is its own history.
     """
-    rows = digests(docs)
+    rows = digests(docs, row)
     batch = distinct_digests(rows)
     past = batch if history is None else distinct_digests(digests(history))
     shards = max(1, -(-(rows.count() if history is None else past.count()) // SHARD_DIGESTS))
@@ -140,6 +140,6 @@ def decide(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 def keep_first(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    rows = identified(docs)
-    kept = decide(rows, history).where("kept").select("row_id", F.col("doc_id").alias("id"))
-    return chosen_rows(rows, kept).select(*docs.columns)
+    rows, row = identified(docs)
+    kept = decide(rows, history, row).where("kept").select("row_id", F.col("doc_id").alias("id"))
+    return chosen_rows(rows, row, kept, docs.columns)

@@ -6,11 +6,11 @@ term frequency and inverse document frequency, of length one. Each language's tr
 of its length reach, and where it has no letter.
 
 The model is fitted on the driver, on at most SAMPLE labelled texts of each language (about: rows are taken by a hash of their
-doc_id, at the rate that gives so many), as feature vectors computed by the executors; everything else covers all rows and whole texts.
+place, doc_id and text, at the rate that gives so many), as feature vectors computed by the executors; everything else covers all rows and whole texts.
 
 Defined results: null text and text without a letter are "und" with score 0 and rejected; so is everything when there is nothing to learn
-from. Null or repeated doc_id are documents of their own; a null doc_id counts as the empty text in the split. Extra columns are kept by
-classified(), but for its own __lang_ ones. An empty table gives an empty result.
+from. Null or repeated doc_id are documents of their own; a null doc_id counts as the empty text in the split. Of centroids equally near the
+first in order of language is taken. Extra columns are kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.columns import identified
+from tidemark.llm.columns import exactly, identified, unused
 from tidemark.plans.session import ship
 
 UNKNOWN = "und"
@@ -139,41 +139,49 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     whose rows are all held out, as under a single doc_id, is learnt from those.
     """
     ship(docs.sparkSession)
-    labelled = identified(docs.where("lang is not null")).withColumn("out", held_out(F.col("doc_id")))
+    placed, row = identified(docs.where("lang is not null"))
+    labelled = placed.select("doc_id", "text", "lang", exactly(row).alias("row_id"), held_out(F.col("doc_id")).alias("out"))
     counted = {r.lang: (r.n, r.own) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("out")).alias("own")).collect()}
     sizes = {lang: own or n for lang, (n, own) in counted.items()}
-    known = labelled.where(~F.col("out") | F.col("lang").isin([lang for lang, (_, own) in counted.items() if not own])).select(F.col("doc_id").cast("string").alias("key"), "text", "lang", "__row")
+    known = labelled.where(~F.col("out") | F.col("lang").isin([lang for lang, (_, own) in counted.items() if not own])).select(F.col("doc_id").cast("string").alias("key"), "text", "lang", "row_id")
     if not sizes:
         return Model.fit([], np.zeros((0, FEATURES), np.int64))
     steps = 1 << 20
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(steps, -(-sample * steps // n)))])
-    hashed = F.pmod(F.xxhash64("key", "text", "__row", F.lit(11)), F.lit(steps))
-    chosen = known.where(hashed < F.element_at(rate, F.col("lang"))).drop("__row")
+    hashed = F.pmod(F.xxhash64("key", "text", "row_id", F.lit(11)), F.lit(steps))
+    chosen = known.where(hashed < F.element_at(rate, F.col("lang"))).drop("row_id")
     rows = sorted(chosen.mapInArrow(_features, "key string, lang string, counts binary").collect(), key=lambda r: (r.lang, r.key or "", bytes(r.counts)))
     matrix = np.frombuffer(b"".join(bytes(r.counts) for r in rows), "<u4").reshape(-1, FEATURES)
     return Model.fit([r.lang for r in rows], matrix)
 
 
-def _predict(model: Model):
+def _predict(model: Model, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                names, score, rejected = model.predict(np.stack([counts(t.as_py()) for t in batch["text"]]))
-                arrays = [*batch.columns, pa.array(names), pa.array(score), pa.array(rejected)]
-                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "__lang_pred", "__lang_score", "__lang_rejected"])
+                found, score, rejected = model.predict(np.stack([counts(t.as_py()) for t in batch.column(text)]))
+                arrays = [*batch.columns, pa.array(found), pa.array(score), pa.array(rejected)]
+                yield pa.RecordBatch.from_arrays(arrays, [f"c{k}" for k in range(len(arrays))])
 
     return run
 
 
-def classified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lang_pred, __lang_score (the cosine, 0 to 1) and __lang_rejected."""
+ADDED = ("lang_pred", "lang_score", "lang_rejected")
+
+
+def classified(docs: DataFrame, model: Model, added: tuple[str, str, str] | list[str] = ADDED) -> DataFrame:
+    """docs with the language, the score (the cosine, 0 to 1) and the rejection, under the names of added, which docs must not have."""
+    if unused(docs.columns, *added) != list(added):
+        raise ValueError(f"docs has columns of these names already: {added}")
     ship(docs.sparkSession)
-    docs = docs.drop("__lang_pred", "__lang_score", "__lang_rejected")
-    added = [T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType()), T.StructField("__lang_rejected", T.BooleanType())]
-    return docs.mapInArrow(_predict(model), T.StructType([*docs.schema.fields, *added]))
+    kinds = [*[f.dataType for f in docs.schema.fields], T.StringType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([T.StructField(f"c{k}", kind) for k, kind in enumerate(kinds)])  # plain names on the way, whatever those of docs are
+    plain = docs.toDF(*schema.names[: len(docs.columns)])
+    return plain.mapInArrow(_predict(model, docs.columns.index("text")), schema).toDF(*docs.columns, *added)
 
 
 def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs that are not rejected, with their columns; the model is fitted on docs if none is given."""
-    return classified(docs, model or fit(docs)).where("not __lang_rejected").select(*docs.columns)
+    added = unused(docs.columns, *ADDED)
+    return classified(docs, model or fit(docs), added).where(~exactly(added[2])).select(*map(exactly, docs.columns))

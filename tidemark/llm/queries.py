@@ -25,11 +25,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    by_document = pieces.groupBy("row_id", "doc_id", "size", "source_size", "target")
-    return by_document.agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken")).drop("row_id")
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken().drop("row_id")
 
 
+# Which of the blocks goes to which shard doesn't change a document's sum, so that the tree's draws are not repeated here; tests/llm/test_mixing.py has them.
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
@@ -37,19 +36,25 @@ w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE EL
 l AS (SELECT *, most / weight AS ratio, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE
         - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT *, least(most, (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, rank LIMIT 1) * weight) AS target FROM l),
-o AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR || '#7'), d.doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS pos
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (greatest(0, least(size, quota - pos)) + greatest(0, least(size, quota - source_size - pos)))::BIGINT AS taken FROM o
+t AS (SELECT source, source_size, least(most, (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, rank LIMIT 1) * weight) AS target FROM l),
+q AS (SELECT *, least(floor(target + 0.5)::BIGINT, 2 * source_size) AS quota FROM t),
+p AS (SELECT greatest(4096, ceil(words / (shards * 64)))::BIGINT AS width FROM (SELECT sum(quota) AS words, greatest(64, ceil(sum(quota) / 67108864)) AS shards FROM q)),
+e AS (SELECT *, quota // source_size AS epochs, quota % source_size AS rest, ceil(source_size / width)::BIGINT AS blocks FROM q, p WHERE source_size > 0),
+c AS (SELECT *, unnest(range(blocks)) AS block FROM e WHERE rest > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY block = blocks - 1, md5(coalesce('=' || source, '') || '#' || epochs || '#' || block || '#7')) - 1 AS nth FROM c),
+b AS (SELECT source, block, least(width, rest - nth * width) AS words FROM n WHERE nth * width < rest),
+o AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || '#7'), doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS pos FROM d),
+x AS (SELECT doc_id, source, size, pos, width, unnest(range(pos // width, (pos + size - 1) // width + 1)) AS block FROM o, p WHERE size > 0),
+g AS (SELECT x.doc_id, sum(greatest(0, least(pos + size, x.block * width + words) - greatest(pos, x.block * width))) AS words
+      FROM x JOIN b ON x.block = b.block AND x.source IS NOT DISTINCT FROM b.source GROUP BY x.doc_id)
+SELECT o.doc_id, size::BIGINT AS size, q.source_size, q.target, (coalesce(epochs, 0) * size + coalesce(g.words, 0))::BIGINT AS taken
+FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source LEFT JOIN e ON o.source IS NOT DISTINCT FROM e.source LEFT JOIN g ON o.doc_id = g.doc_id
 """
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    component = F.when(F.col("label") < simhash.NO_ID, F.col("label"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.classified(docs.select("doc_id", "text"), langid.fit(docs.select("doc_id", "text", "lang")))
-    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"), F.col("__lang_rejected").alias("rejected"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

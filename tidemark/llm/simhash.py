@@ -11,9 +11,10 @@ is the method.
 Cells bound what a task holds to two tiles at any size.
 
 Defined results: null text is the empty text; a text without words has fingerprint zero, linked like any other. Fewer than four
-words are one shingle. Rows whose doc_id is null take part; a class of such rows only has a null id. doc_id must be under 2**62.
-Repeated rows share a class. Rows with a repeated doc_id and different texts are documents of their own: their classes stay apart
-unless their fingerprints are linked, though both may show that doc_id as their least. Extra columns are kept by keep_one(). An empty table gives an empty result.
+words are one shingle. Rows whose doc_id is null take part; a class of such rows only has a null id. Any 64-bit doc_id will do.
+Repeated rows share a class. Rows with a repeated doc_id and different texts are documents of their own: their classes (told apart by root,
+the least fingerprint) stay apart unless their fingerprints are linked, though both may show that doc_id as their least. Extra columns are
+kept by keep_one(), whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 TILE = 262_144  # nodes of a tile, about
-NO_ID = 1 << 62  # labels from here on stand for classes without doc_id; fingerprints that share one are within two bits
 _ROWS, _COLS, _PAIRS, _GROUP = 64, 4096, 2_000_000, 24
 
 
@@ -72,10 +72,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch["row_id"], batch["doc_id"], pa.array(fps, pa.int64())], ["row_id", "doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, fp (the fingerprint as a signed long); computed once."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row_id, doc_id, fp (the fingerprint as a signed long); computed once. row: the column that numbers the rows."""
     ship(docs.sparkSession)
-    rows = docs.select(row_number(docs).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(row_number(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return cut(rows.mapInArrow(_fingerprints, "row_id long, doc_id long, fp long"))
 
 
@@ -187,19 +187,18 @@ def _rooted(rows: DataFrame, radius: int, tile: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """row_id, doc_id, fp, label for each row of docs (doc_id, text); the label is the least doc_id of the class, from NO_ID on: none."""
+    """row_id, doc_id, fp, root, component_id for each row of docs (doc_id, text): the class by its least fingerprint and its least doc_id."""
     rows = fingerprints(docs)
     rooted = cut(_rooted(rows, radius, tile))
-    stand_in = F.lit(NO_ID) + F.shiftrightunsigned("root", 2)
-    least = rooted.groupBy("root").agg(F.min("id").alias("least")).select("root", F.coalesce("least", stand_in).alias("label"))
-    return rows.join(rooted.join(least, "root").select("fp", "label"), "fp").select("row_id", "doc_id", "fp", "label")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("row_id", "doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with all their columns, that have the smallest doc_id of their class (one row if that is repeated)."""
-    rows = identified(docs)
+    rows, row = identified(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
-    prints = fingerprints(rows)
+    prints = fingerprints(rows, row)
     rooted = prints.join(_rooted(prints, radius, TILE).select("fp", "root"), "fp")
     first = rooted.groupBy("root").agg(F.min_by(F.struct("row_id", F.col("doc_id").alias("id")), order).alias("first"))
-    return chosen_rows(rows, first.select("first.*")).select(*docs.columns)
+    return chosen_rows(rows, row, first.select("first.*"), docs.columns)

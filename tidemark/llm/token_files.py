@@ -9,7 +9,9 @@ to the final one at the end, and have the same bytes when a lost task is done ag
 it is opened through pyarrow's file systems, by its URI.
 
 Defined results: null text is the empty text, a document of the end id alone. Null doc_ids come first. Documents with the same
-doc_id are in order of their texts. Other columns are ignored. An empty table gives no file and an empty result.
+doc_id are in order of a hash of their texts and of their place in the table, so that a doc_id that many share (or none) is spread over
+shards. The string of a special token in a text is that token's id, or ordinary text if plain_specials is set. Other columns are ignored. An
+empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import identified
 from tidemark.llm.elias_fano import EliasFano
 from tidemark.llm.tokens import END_ID, Encoder
 from tidemark.plans.session import ship, shuffle_partitions
@@ -103,11 +106,11 @@ def _name(shard: int) -> str:
     return f"shard-{shard:06d}.tok"
 
 
-def _write(uri: str, tokenizer: str):
+def _write(uri: str, tokenizer: str, plain_specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, encoder, writer, n = TaskContext.get(), Encoder.of(tokenizer), None, 0
+        task, encoder, writer, n = TaskContext.get(), Encoder.of(tokenizer, plain_specials), None, 0
         shard, width = task.partitionId(), encoder.dtype.itemsize
         end = np.array([END_ID], encoder.dtype).tobytes()
         for batch in batches:
@@ -121,15 +124,17 @@ def _write(uri: str, tokenizer: str):
     return run
 
 
-def write(docs: DataFrame, uri: str, tokenizer: str = TOKENIZER, shards: int | None = None) -> list[tuple[int, int, int]]:
+def write(docs: DataFrame, uri: str, tokenizer: str = TOKENIZER, shards: int | None = None, plain_specials: bool = False) -> list[tuple[int, int, int]]:
     """Writes docs (doc_id, text) in doc_id order; returns (shard, documents, ids) by shard, a row for each file."""
     spark = docs.sparkSession
     ship(spark)
     fs, folder = _open(uri)
     fs.create_dir(folder, recursive=True)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    made = dealt.mapInArrow(_write(uri, tokenizer), "shard long, n_docs long, n_ids long").collect()
+    placed, row = identified(docs)
+    rows = placed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text", row).alias("place"))
+    order = ["doc_id", "place"]
+    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    made = dealt.mapInArrow(_write(uri, tokenizer, plain_specials), "shard long, n_docs long, n_ids long").collect()
     return sorted((r.shard, r.n_docs, r.n_ids) for r in made)
 
 
