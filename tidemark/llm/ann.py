@@ -5,9 +5,11 @@ then on every vector belongs to the part it finds most probable. A query goes to
 COVER of its probability, and is compared exactly with all their vectors. Where the data have no structure that is most of them; the
 probabilities are what keeps the recall.
 
-The model is fitted on the driver, on SAMPLE vectors (about: by a hash of their id, at the rate that gives so many); every row is
-indexed. Parts are dealt in blocks of candidates and of queries, of bounded size; of identical vectors in a block only as many as can be
-among the results are compared, by id.
+The model is fitted on the driver, on SAMPLE vectors (about: by a hash of their place and values, at the rate that gives so many); every
+row is indexed. There are more parts in a larger table (a part for each PART_ROWS rows, from PARTS up to what the sample can teach, one for
+each SAMPLE_OF_PART of its vectors). Each part's rows are counted and dealt in as many blocks as its own size asks for, as are its queries;
+of identical vectors in a block only as many as can be among the results are compared, by id. A query whose parts hold fewer than k
+candidates is compared with all parts.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without vec_id, or
 whose vectors don't have the most frequent length (of equally frequent ones, the least). Scores are cosines in double precision; ties go to
@@ -26,9 +28,11 @@ from tidemark.llm.partitions import Router, learn
 from tidemark.plans.session import cut, ship
 
 PARTS = 32
+PART_ROWS = 16_384
 SAMPLE = 8000
+SAMPLE_OF_PART = 32
 COVER = 0.95
-BLOCK = 65_536  # candidates of a block, if the parts were equal
+BLOCK = 32_768  # candidates of a block, about
 QUERY_BLOCK = 32_768
 _ROWS = 256
 _NEAR = 1e-9  # far over the rounding of a product of two unit vectors
@@ -108,29 +112,53 @@ def _cell(d: int, k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, parts: int = PARTS, cover: float = COVER, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the nearest found among vectors (vec_id, embedding) for the rows where queries holds."""
+def _dealt(routed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row_id, vec_id, vec, part) with sub, their block within the part, and (part, blocks) of each part."""
+    sizes = routed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each part
+    number = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
+    return routed.join(sizes, "part").select("row_id", "vec_id", "vec", "part", number.alias("sub")), sizes
+
+
+def _compared(candidates: DataFrame, queries: DataFrame, d: int, k: int, block: int, query_block: int) -> DataFrame:
+    """query_row, query_id, row_id, vec_id, score: the k best of each cell, a block of a part's candidates with a block of its queries."""
+    (left, left_sizes), (right, right_sizes) = _dealt(candidates, block), _dealt(queries, query_block)
+    across = lambda rows, sizes, own, other: rows.withColumnRenamed("sub", own).join(sizes, "part").select("row_id", "vec_id", "vec", "part", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other))
+    keys = ["part", "sub", "q_sub"]
+    cells = across(left, right_sizes, "sub", "q_sub").groupBy(*keys).cogroup(across(right, left_sizes, "q_sub", "sub").groupBy(*keys))
+    return cells.applyInArrow(_cell(d, k), "query_row long, query_id long, row_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 5, parts: int | None = None, cover: float = COVER, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the nearest found among vectors (vec_id, embedding) for the rows where queries holds.
+
+    parts: by default as many as the table's size and the sample give.
+    """
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("row_id"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     rows = cut(rows.where(valid(F.col("vec"))))
     lengths = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).agg(F.max_by(F.struct("d", "n", "q"), F.struct("n", -F.col("d")))).first()[0]
-    out = "query_row long, query_id long, row_id long, vec_id long, score double"
     if lengths is None:
-        return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    d, n, n_queries = lengths
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    d, n, _ = lengths
     rows = rows.where(F.size("vec") == d)
     steps = 1 << 40
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(steps)) < min(steps, steps * sample // n)).select("vec_id", "row_id", "vec").collect()
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id", "vec", "row_id", F.lit(17)), F.lit(steps)) < min(steps, steps * sample // n)).select("vec_id", "row_id", "vec").collect()
     x = np.array([r.vec for r in sorted(chosen)], np.float64).reshape(-1, d)
     x /= np.abs(x).max(axis=1, keepdims=True)
-    router = learn(x / _norms(x)[:, None], parts)
-    subs, q_subs = max(1, -(-n // (parts * block))), max(1, -(-n_queries // query_block))
-    routed = lambda df, c: df.select("row_id", "vec_id", "vec").mapInArrow(_route(router, d, c), "row_id long, vec_id long, vec array<double>, parts array<int>")
-    dealt = lambda df, own, all_: df.select("row_id", "vec_id", "vec", F.explode("parts").alias("part"), F.pmod(F.xxhash64("row_id"), F.lit(own[1])).cast("int").alias(own[0])).withColumn(all_[0], F.explode(F.sequence(F.lit(0), F.lit(all_[1] - 1))))
-    left = dealt(routed(rows, None), ("sub", subs), ("q_sub", q_subs))
-    right = dealt(routed(rows.where("is_query"), cover), ("q_sub", q_subs), ("sub", subs))
-    keys = ["part", "sub", "q_sub"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cell(d, k), out)
-    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    router = learn(x / _norms(x)[:, None], parts or max(PARTS, min(n // PART_ROWS, sample // SAMPLE_OF_PART)))
+    routed = lambda df, c: df.select("row_id", "vec_id", "vec").mapInArrow(_route(router, d, c), "row_id long, vec_id long, vec array<double>, parts array<int>").select("row_id", "vec_id", "vec", F.explode("parts").alias("part"))
+    candidates, asked = cut(routed(rows, None)), rows.where("is_query")
+    best = cut(_best(_compared(candidates, routed(asked, cover), d, k, block, query_block), k))
+    full = best.groupBy("query_row").count().where(F.col("count") >= min(k, n - 1))
+    lacking = asked.join(full, asked["row_id"] == full["query_row"], "left_anti")
+    if not lacking.isEmpty():
+        every = [F.lit(p) for p in range(router.b2.shape[0])]
+        whole = _best(_compared(candidates, lacking.select("row_id", "vec_id", "vec", F.explode(F.array(*every)).alias("part")), d, k, block, query_block), k)
+        best = best.join(full, "query_row", "left_semi").unionByName(whole.select(*best.columns))
+    return best.select("query_id", "rank", "vec_id", "score")
