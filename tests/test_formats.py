@@ -49,13 +49,13 @@ def test_log_stops_at_damage():
 
 def test_log_files(spark, tmp_path):
     folder = str(tmp_path / "wal")
-    assert log.append(mutations(spark, [("survivor", "yes", 1), ("gone", "x", 2), ("also-alive", "42", 3)]), folder, "0001.wal") == 1
+    assert log.append(mutations(spark, [("kept-1", "yes", 1), ("gone", "x", 2), ("kept-2", "42", 3)]), folder, "0001.wal") == 1
     log.append(mutations(spark, [("gone", None, 4)]), folder, "0002.wal")
     whole = (tmp_path / "wal/0002.wal").read_bytes()
     (tmp_path / "wal/0003.wal").write_bytes(whole + log.encode(5, "PUT", "torn", "v")[:-5])
     back = log.read(spark, folder)
     assert back.count() == 5
-    assert {r.key: r.value for r in resolve.view(back).collect()} == {"survivor": "yes", "also-alive": "42"}
+    assert {r.key: r.value for r in resolve.view(back).collect()} == {"kept-1": "yes", "kept-2": "42"}
     assert resolve.next_seq(back).first().next_seq == 5 and log.compacted(back, 3).count() == 2
 
 
@@ -89,16 +89,49 @@ def test_run_damage():
 
 
 def test_run_files(spark, tmp_path):
-    own = mutations(spark, [("zebra", "z", 1), ("apple", "a", 2), ("mango", None, 3)])
+    own = mutations(spark, [("tin", "z", 1), ("ash", "a", 2), ("oak", None, 3)])
     assert runs.write(own, str(tmp_path / "r"), partitions=2) >= 1
     got = runs.read(spark, str(tmp_path / "r"))
-    assert {r.key: (r.value, r.seq, r.tombstone) for r in got.collect()} == {"zebra": ("z", 1, False), "apple": ("a", 2, False), "mango": (None, 3, True)}
+    assert {r.key: (r.value, r.seq, r.tombstone) for r in got.collect()} == {"tin": ("z", 1, False), "ash": ("a", 2, False), "oak": (None, 3, True)}
     index = runs.sparse_index(spark.range(100).select(F.format_string("k%03d", "id").alias("key")))
     assert sorted((r.n, r.key) for r in index.collect()) == [(i, f"k{i:03d}") for i in range(0, 100, 16)]
 
 
+def test_lookup_in_overlapping_runs(spark, tmp_path):
+    folder = tmp_path / "r"
+    folder.mkdir()
+    tables = [{f"k{i:03d}": (f"{n}:{i}", i) for i in range(a, b, step)} for n, (a, b, step) in enumerate([(0, 200, 1), (50, 60, 1), (55, 900, 5), (10, 11, 1), (300, 400, 3)])]
+    for n, t in enumerate(tables):
+        (folder / f"{n}.sst").write_bytes(runs.encode([(k, v, s, False) for k, (v, s) in t.items()]))
+    (folder / "none.sst").write_bytes(runs.encode([]))
+    wanted = [f"k{i:03d}" for i in (*range(0, 999, 7), 10, 55, 895)] + ["", "zzz", None]
+    got = sorted((r.key, r.value, r.seq) for r in runs.lookup(spark, str(folder), spark.createDataFrame([(k,) for k in wanted], "key string")).collect())
+    assert got == sorted((k, *t[k]) for k in set(wanted) for t in tables if k in t for _ in range(wanted.count(k)))
+
+
+# Frames
+
+def test_frames_of_a_stream(spark):
+    whole = b"".join(struct.pack(">i", len(x)) + x for x in (b"a", b"bc" * 300, "é𝄞".encode()))
+    cases = [b"", whole, whole + b"\0\0", whole + struct.pack(">i", 9) + b"short", whole + struct.pack(">i", 0) + b"x", struct.pack(">i", -5) + whole, struct.pack(">i", (64 << 20) + 1), None]
+    df = spark.createDataFrame(list(enumerate(cases)), "n int, c binary")
+    got = {r.n: r.r for r in df.select("n", codecs.read_frames(F.col("c")).alias("r")).collect()}
+    frames = [b"a", b"bc" * 300, "é𝄞".encode()]
+    assert [list(map(bytes, got[i].frames)) for i in (1, 2, 3, 4)] == [frames] * 4 and list(got[0].frames) == list(got[5].frames) == []
+    assert [bytes(got[i].rest) for i in (0, 1, 2, 3)] == [b"", b"", b"\0\0", struct.pack(">i", 9) + b"short"]
+    assert all(got[i].error is None for i in (0, 1, 2, 3)) and all("out of range" in got[i].error for i in (4, 5, 6))
+
+
 # Snapshots
 
+def test_log_in_spans_of_seq(spark, tmp_path):
+    rows = [(f"k{i}", f"v{i}", i) for i in range(1, 2500)]
+    assert log.append_spans(mutations(spark, rows).repartition(5), str(tmp_path / "w"), "a.wal", 1000) == 3
+    assert sorted(p.name for p in (tmp_path / "w").glob("*.wal")) == [f"a-{i:012d}.wal" for i in range(3)]
+    assert [e[0] for e in log.replay((tmp_path / "w/a-000000000001.wal").read_bytes())] == list(range(1000, 2000))
+    assert sorted((r.key, r.value, r.seq) for r in log.read(spark, str(tmp_path / "w")).collect()) == sorted(rows)
+
+
 def test_snapshots(spark, tmp_path):
     rows = [("alpha", "1"), ("beta", "2"), ("gamma", "")]
     data = snapshot.encode(rows)

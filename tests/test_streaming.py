@@ -74,3 +74,14 @@ def test_event_time_windows_and_expiry(spark, tmp_path):
     spark.createDataFrame([("k", "v", 1, False, 100, None), ("p", "v", 2, False, None, None)], SCHEMA).write.json(str(tmp_path / "t"))
     views.to_memory(views.expiring(spark.readStream.schema(SCHEMA).json(str(tmp_path / "t")), 100), "expiring", str(tmp_path / "cp4")).start().awaitTermination(120)
     assert [r.key for r in spark.table("expiring").collect()] == ["k"]
+
+
+def test_view_kept_in_a_folder(spark, tmp_path):
+    folder, kept = str(tmp_path / "log"), str(tmp_path / "view")
+    want = {}
+    for n, more in enumerate(([("a", "1"), ("b", "2"), ("c", "3")], [("a", "9"), ("b", None)], [("d", "4"), ("a", "10")])):
+        add(spark, folder, rows(more, 10 * n + 1))
+        want |= dict(more)
+        stream = spark.readStream.schema(SCHEMA).json(folder)
+        views.into_folder(views.latest(stream), kept, str(tmp_path / "cp")).start().awaitTermination(120)
+        assert {r.key: r.value for r in views.from_folder(spark, kept).collect()} == want

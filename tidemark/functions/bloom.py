@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SEEDS = (0x9747B28C, 0xC4CEB9FE1A85EC53)
 STEP, LAST = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
+GROUP = 64
 _U = np.uint64
 
 
@@ -80,21 +81,26 @@ def _utf8(column: pa.Array) -> list[bytes]:
 
 
 def build(keys: DataFrame, expected: int, rate: float = 0.01) -> DataFrame:
-    """One row: bloom, the filter of all keys (key string). Each task makes its own filter; the union is taken bit by bit."""
+    """One row: bloom, the filter of all keys (key string). Each task makes its own filter; unions are taken bit by bit, of GROUP filters at a time."""
     bits, hashes = sizing(expected, rate)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         own = Bloom(bits, hashes)
         for batch in batches:
             own.add(_utf8(batch["key"]))
-        yield pa.RecordBatch.from_pydict({"part": [0], "content": [own.content.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "content": [own.content.tobytes()]})
 
     def union(key: tuple, table: pa.Table) -> pa.Table:
-        whole = np.bitwise_or.reduce([np.frombuffer(c.as_py(), np.uint8) for c in table["content"]])
-        return pa.table({"bloom": pa.array([Bloom(bits, hashes, whole).to_bytes()], pa.binary())})
-
-    parts = keys.where(F.col("key").isNotNull()).select("key").mapInArrow(partial, "part long, content binary")
-    return parts.groupBy("part").applyInArrow(union, "bloom binary")
+        whole = np.bitwise_or.reduce([np.frombuffer(c.as_buffer(), np.uint8) for c in table["content"]])
+        return pa.table({"part": pa.array([0], pa.int64()), "content": pa.array([whole.tobytes()], pa.binary())})
+
+    filters = keys.where(F.col("key").isNotNull()).select("key").mapInArrow(partial, "part long, content binary")
+    for group in (F.floor(F.col("part") / GROUP), F.lit(0)):
+        filters = filters.withColumn("part", group.cast("long")).groupBy("part").applyInArrow(union, "part long, content binary")
+    head = struct.pack(">iii", bits, hashes, -(-bits // 8))
+    return filters.select(F.concat(F.lit(bytearray(head)), "content").alias("bloom"))
 
 
 def probe(keys: DataFrame, bloom: bytes) -> DataFrame:

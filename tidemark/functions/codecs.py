@@ -99,6 +99,36 @@ def frame(content: Column) -> Column:
     return F.when(length.between(LEAST_FRAME, MOST_FRAME), F.concat(number(length, 4), content)).otherwise(wrong)
 
 
+def read_frames(content: Column) -> Column:
+    """struct(frames, rest, error) of bytes that hold frames one after the other.
+
+    rest: the bytes of a frame that isn't whole yet. error: says what is wrong with the first length that is out of range, where reading ends.
+    """
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,length:bigint>>").alias("places"), F.lit(None).cast("string").alias("error"))
+    steps = F.sequence(F.lit(0), F.floor(F.octet_length(content) / (4 + LEAST_FRAME)).cast("int"))  # so many frames there can be
+
+    def step(acc: Column, _: Column) -> Column:
+        def judged(n: Column) -> Column:
+            whole = acc["error"].isNull() & (n >= LEAST_FRAME) & (n <= MOST_FRAME) & (acc["at"] + 4 + n <= F.octet_length(content))
+            wrong = F.when(~n.between(LEAST_FRAME, MOST_FRAME), F.concat(F.lit("frame length out of range: "), n.cast("string")))
+            place = F.struct((acc["at"] + 4).alias("at"), n.alias("length"))
+            return F.struct(
+                F.when(whole, acc["at"] + 4 + n).otherwise(acc["at"]).alias("at"),
+                F.when(whole, F.concat(acc["places"], F.array(place))).otherwise(acc["places"]).alias("places"),
+                F.coalesce(acc["error"], wrong).alias("error"),
+            )
+
+        unsigned = read_number(content, acc["at"], 4)
+        signed = F.when(unsigned >= 1 << 31, unsigned - (1 << 32)).otherwise(unsigned)
+        more = acc["at"] + 4 <= F.octet_length(content)
+        return F.when(more, F.element_at(F.transform(F.array(signed), judged), 1)).otherwise(acc)
+
+    read = F.aggregate(steps, nothing, step)
+    pieces = lambda r: F.transform(r["places"], lambda p: F.substring(content, (p["at"] + 1).cast("int"), p["length"].cast("int")))
+    made = lambda r: F.struct(pieces(r).alias("frames"), F.substring(content, (r["at"] + 1).cast("int"), F.octet_length(content)).alias("rest"), r["error"].alias("error"))
+    return F.element_at(F.transform(F.array(read), made), 1)
+
+
 def resp_ok() -> Column:
     return F.lit("+OK\r\n")
 

@@ -44,20 +44,20 @@ def read(placement: DataFrame, up: DataFrame, state: DataFrame, quorum: Quorum,
     The newest version among them wins and a tombstone hides the key. first_present: the first replica in ring order that has a live
     version wins instead.
     """
-    asked = placement.join(up.select("node_id"), "node_id", "left_semi")
-    asked = asked.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("replica_pos"))).where(F.col("_n") <= quorum.r)
-    enough = asked.groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") >= quorum.r).select("key")
-    answers = asked.join(enough, "key", "left_semi").join(state, ["key", "node_id"]).select("key", "replica_pos", "value", "seq", "tombstone")
+    answering = placement.join(up.select("node_id"), "node_id", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("replica_pos", "node_id"))).alias("_a"))
+    asked = answering.where(F.size("_a") >= quorum.r).select("key", F.explode(F.slice("_a", 1, quorum.r)).alias("_a")).select("key", "_a.node_id", "_a.replica_pos")
     if first_present:
-        present = answers.where(~F.col("tombstone"))
-        return present.groupBy("key").agg(F.min_by(F.struct("value", "seq"), "replica_pos").alias("w")).select("key", "w.value", "w.seq")
+        present = asked.join(state.where(~F.col("tombstone")), ["key", "node_id"])
+        return present.groupBy("key").agg(F.min_by(F.struct("value", "seq"), F.struct("replica_pos", -F.col("seq"))).alias("w")).select("key", "w.value", "w.seq")
+    held = newest(state.select("key", "node_id", "value", "seq", "tombstone"), by=["key", "node_id"])  # a version each, before anything is joined
+    answers = asked.join(held, ["key", "node_id"]).select("key", "replica_pos", "value", "seq", "tombstone")
     return newest(answers, rank="replica_pos").where(~F.col("tombstone")).select("key", "value", "seq")
 
 
 def winners(state: DataFrame) -> DataFrame:
     """The newest version of each key over all replicas; on a tie that of the least node_id."""
-    best = state.groupBy("key").agg(F.max("seq").alias("seq"))
-    return state.join(best, ["key", "seq"]).groupBy("key").agg(F.min_by(F.struct("value", "seq", "tombstone"), "node_id").alias("w")).select("key", "w.value", "w.seq", "w.tombstone")
+    version, order = F.struct("value", "seq", "tombstone"), F.struct(-F.col("seq"), "node_id")
+    return state.groupBy("key").agg(F.min_by(version, order).alias("w")).select("key", "w.value", "w.seq", "w.tombstone")
 
 
 def repairs(placement: DataFrame, state: DataFrame) -> DataFrame:
@@ -65,10 +65,11 @@ def repairs(placement: DataFrame, state: DataFrame) -> DataFrame:
 
     Keys that no replica has need no repair; nodes outside the placement are left alone.
     """
-    placed = placement.select("key", "node_id")
-    own = placed.join(state, ["key", "node_id"], "left").select("key", "node_id", F.col("seq").alias("_seq"))
-    won = winners(state.join(placed, ["key", "node_id"], "left_semi"))
-    return own.join(won, "key").where(F.col("_seq").isNull() | (F.col("_seq") < F.col("seq"))).select("node_id", "key", "value", "seq", "tombstone")
+    own = placement.select("key", "node_id").join(state.select("key", "node_id", "value", "seq", "tombstone"), ["key", "node_id"], "left")
+    # A key has as many rows as replicas, so that its winner is found where they are.
+    won = F.min_by(F.when(F.col("seq").isNotNull(), F.struct("value", "seq", "tombstone")), F.when(F.col("seq").isNotNull(), F.struct(-F.col("seq"), "node_id"))).over(W.partitionBy("key"))
+    lacking = own.withColumn("_won", won).where(F.col("_won").isNotNull() & (F.col("seq").isNull() | (F.col("seq") < F.col("_won.seq"))))
+    return lacking.select("node_id", "key", "_won.value", "_won.seq", "_won.tombstone")
 
 
 def repaired(placement: DataFrame, state: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Replicated logs as relations (F1 to F7, F9, R8, R12, R13): rows (node_id, index, term, cmd, key, value), index from 1.
 
-The relational part of consensus only: log surgery, votes, the commit index and the fold. Timers and transports have no place here.
+The relational part of consensus only: log surgery, rounds of replication over the nodes that are reached, votes, the commit index and the fold.
+Timers and transports have no place here.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import numbered, with_last_before
 from tidemark.operators.resolve import newest
 
 
@@ -20,8 +22,8 @@ def tail(logs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def gaps(logs: DataFrame) -> DataFrame:
     """entries that don't follow the one before (every log begins at 1)."""
-    before = F.coalesce(F.lag("index").over(W.partitionBy("node_id").orderBy("index")), F.lit(0))
-    return logs.withColumn("_before", before).where(F.col("index") != F.col("_before") + 1).drop("_before")
+    placed = with_last_before(logs, "node_id", "index", F.col("index"), "_before")
+    return placed.where(F.col("index") != F.coalesce("_before", F.lit(0)) + 1).drop("_before")
 
 
 def truncated(logs: DataFrame, first_dropped: int) -> DataFrame:
@@ -81,6 +83,39 @@ def appended(follower: DataFrame, leader: DataFrame, prev_index: int, prev_term:
     return kept.unionByName(added)
 
 
+def proposed(log: DataFrame, commands: DataFrame, term: int) -> DataFrame:
+    """F8: the leader's log after commands (pos, cmd, key, value), in order of pos, as entries of its term at its end."""
+    last = log.agg(F.coalesce(F.max("index"), F.lit(0)).alias("_last"))
+    entries = numbered(commands, "pos", "_n", first=1).join(last, F.lit(True))  # one row
+    return log.select("index", "term", "cmd", "key", "value").unionByName(entries.select((F.col("_n") + F.col("_last")).alias("index"), F.lit(term).cast("long").alias("term"), "cmd", "key", "value"))
+
+
+def replicated(logs: DataFrame, leader: str, reached: DataFrame) -> DataFrame:
+    """F8: the logs (node_id, index, term, cmd, key, value) of all nodes after a round in which the leader's entries get to the nodes of reached
+    (node_id), each back to where they agree. Other nodes keep theirs.
+
+    A follower's log is cut at its first entry of another term than the leader's; what it has past the leader's last stays if none differs.
+    """
+    columns = ["node_id", "index", "term", "cmd", "key", "value"]
+    own = logs.where(F.col("node_id") == leader).drop("node_id")
+    targets = reached.select("node_id").where(F.col("node_id") != leader).distinct()
+    behind = logs.join(targets, "node_id", "left_semi")
+    conflicts = behind.select("node_id", "index", "term").join(own.select("index", F.col("term").alias("_t")), "index").where(F.col("term") != F.col("_t")).groupBy("node_id").agg(F.min("index").alias("_conflict"))
+    kept = behind.join(conflicts, "node_id", "left").where(F.col("_conflict").isNull() | (F.col("index") < F.col("_conflict"))).select(columns)
+    sent = targets.join(own, F.lit(True)).select(columns)  # the entries that go out, once for each node
+    added = sent.join(kept.select("node_id", "index"), ["node_id", "index"], "left_anti")
+    return logs.join(targets, "node_id", "left_anti").select(columns).unionByName(kept).unionByName(added)
+
+
+def matched(logs: DataFrame, leader: str) -> DataFrame:
+    """(node_id, match_index) of each node with entries: how far its log agrees with the leader's from the start."""
+    own = logs.where(F.col("node_id") == leader).select("index", F.col("term").alias("_t"))
+    beside = logs.select("node_id", "index", "term").join(own, "index", "left")
+    differs = F.col("_t").isNull() | (F.col("_t") != F.col("term"))
+    ends = beside.groupBy("node_id").agg(F.min(F.when(differs, F.col("index"))).alias("_off"), F.max("index").alias("_last"))
+    return ends.select("node_id", F.coalesce(F.col("_off") - 1, F.col("_last")).alias("match_index"))
+
+
 def commit_index(matches: DataFrame, leader: DataFrame, term: int, committed: int = 0) -> DataFrame:
     """The highest index that a majority of matches (node_id, match_index; the leader included) has reached and whose entry in the
     leader's log is of the current term; else committed. One row."""

@@ -15,6 +15,7 @@ from tidemark.functions.hashing import TOKEN_MASK, ring_token
 from tidemark.plans.session import cut
 
 VNODES = 150
+AHEAD = 8
 BUCKET_BITS = 10
 
 
@@ -37,9 +38,11 @@ def summary(ring: DataFrame) -> DataFrame:
 def intervals(ring: DataFrame, carry: str = "node_id") -> DataFrame:
     """(low, high, carry): the keys' tokens above low and up to high belong to carry; with the arc around the end as a row of its own."""
     by = W.orderBy("token")
-    arcs = ring.select(F.coalesce(F.lag("token").over(by), F.lit(-1).cast("long")).alias("low"), F.col("token").alias("high"), carry)
-    around = ring.agg(F.max("token").alias("low"), F.min_by(carry, "token").alias(carry)).where("low is not null").select("low", F.lit(TOKEN_MASK).alias("high"), carry)
-    return arcs.unionByName(around.where("low < high"))
+    ends = ring.select("token", carry, F.lag("token").over(by).alias("before"), F.max("token").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"))
+    arc = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
+    first = F.array(arc(F.lit(-1), F.col("token")), arc(F.col("last"), F.lit(TOKEN_MASK)))
+    arcs = F.when(F.col("before").isNull(), first).otherwise(F.array(arc(F.col("before"), F.col("token"))))
+    return ends.select(F.explode(arcs).alias("arc"), carry).select("arc.*", carry).where("low < high")
 
 
 def place(keys: DataFrame, ring: DataFrame, carry: str = "node_id") -> DataFrame:
@@ -60,24 +63,32 @@ def primary(keys: DataFrame, ring: DataFrame) -> DataFrame:
 def replica_lists(ring: DataFrame, n: int) -> DataFrame:
     """(token, replicas): for each token the first n distinct nodes from there on, around the ring.
 
-    Each node's first token at or after every token is a running minimum from the end, so the walk is one window per node.
+    Each token looks AHEAD tokens on for each replica; the few that find too few nodes there look four times as far, until all are found or
+    have been around the ring. So the work goes with the tokens, not with tokens times nodes.
     """
     if n <= 0:
         raise ValueError("n must be positive")
-    nodes = ring.groupBy("node_id").agg(F.min("token").alias("first"))
-    every = ring.select(F.col("token"), F.col("node_id").alias("owner")).join(nodes, F.lit(True))  # tokens x nodes of one ring
-    ahead = F.min(F.when(F.col("owner") == F.col("node_id"), F.col("token"))).over(W.partitionBy("node_id").orderBy("token").rowsBetween(0, W.unboundedFollowing))
-    place_ = F.struct(F.col("ahead").isNull().alias("around"), F.coalesce("ahead", "first").alias("at"), "node_id")
-    walked = every.withColumn("ahead", ahead).groupBy("token").agg(F.array_sort(F.collect_list(place_)).alias("w"))
-    return walked.select("token", F.transform(F.slice("w", 1, n), lambda x: x["node_id"]).alias("replicas"))
+    placed = cut(ring.select("token", "node_id", (F.row_number().over(W.orderBy("token")) - 1).cast("long").alias("i"), F.count("*").over(W.partitionBy()).alias("all")))
+    far, todo, done = AHEAD * n, placed, None
+    while True:
+        steps = todo.select("token", "all", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(far), F.col("all")) - 1), lambda k: (F.col("i") + k) % F.col("all"))).alias("step", "i"))
+        met = steps.join(placed.select("i", "node_id"), "i").groupBy("token", "all", "node_id").agg(F.min("step").alias("step"))
+        found = met.groupBy("token", "all").agg(F.array_sort(F.collect_list(F.struct("step", "node_id"))).alias("w"))
+        found = cut(found.select("token", "all", F.transform(F.slice("w", 1, n), lambda x: x["node_id"]).alias("replicas")))
+        enough = (F.size("replicas") >= n) | (F.col("all") <= far)
+        kept = found.where(enough).select("token", "replicas")
+        done, todo = kept if done is None else done.unionByName(kept), placed.join(found.where(~enough).select("token"), "token", "left_semi")
+        if todo.isEmpty():
+            return done
+        far *= 4
 
 
 def replicas(keys: DataFrame, ring: DataFrame, n: int) -> DataFrame:
     """P5: keys with replicas, the first n distinct nodes clockwise; fewer on a small ring.
 
-    The lists (a row for each token) are computed once, as whatever uses the placement tends to use it several times.
+    The lists (a row for each token) are kept in the shared folder, as whatever uses the placement tends to use it several times.
     """
-    return place(keys, cut(replica_lists(ring, n)), "replicas")
+    return place(keys, replica_lists(ring, n), "replicas")
 
 
 def replica_rows(keys: DataFrame, ring: DataFrame, n: int) -> DataFrame:

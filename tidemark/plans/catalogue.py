@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import bloom, codecs, hashing, keys, resp
 from tidemark.operators import batch, commands, membership, metrics, quorum, raftlog, resolve, ring, scan, ttl
+from tidemark.operators.order import with_last_before
 from tidemark.plans import relations as R
 from tidemark.plans.session import scratch_path
 from tidemark.sources import log as log_source
-from tidemark.sources import runs, snapshot
+from tidemark.sources import files, runs, snapshot
 from tidemark.sources.lake import Lake, read_snapshot
 from tidemark.streaming import views
 
@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-AS_OF = 1_704_200_000_000
+AS_OF = 1_706_720_000_000  # about half of the deadlines of the newest versions have come
 DETECT_AT, SUSPECT_MS, DOWN_MS = 1_706_700_000_000, 20_000_000, 100_000_000
 
 
@@ -302,11 +302,11 @@ def read_repair_state(spark, d):
     return quorum.repaired(_placement(spark, d, 5), _newest_state(spark, d))
 
 
-_HINTS_SQL = _STATE5_SQL + ", missed AS (SELECT p.node_id AS target, CASE WHEN tombstone THEN 'DELETE' ELSE 'PUT' END AS op, l.key, l.value, l.seq FROM log l JOIN placement p USING (key) WHERE l.run = 0 AND p.node_id NOT IN (SELECT node_id FROM up))"
+_HINTS_SQL = _STATE5_SQL + ", missed AS (SELECT p.node_id AS target, CASE WHEN tombstone THEN 'DELETE' ELSE 'PUT' END AS op, l.key, l.value, l.seq FROM log l JOIN placement p USING (key) WHERE p.node_id NOT IN (SELECT node_id FROM up))"
 
 
 def _hints(spark, d):
-    return quorum.hints(_placement(spark, d, 5), _up(spark), R.log(spark, d).where("run = 0"))
+    return quorum.hints(_placement(spark, d, 5), _up(spark), R.log(spark, d))
 
 
 @query("SELECT target, op, key, value, seq FROM missed", _HINTS_SQL)
@@ -421,8 +421,11 @@ def _leader(spark, d):
     return R.table(spark, d, "events").select((F.col("event_id") + 1).alias("index"), (F.floor(F.col("event_id") / 500) + 1).alias("term"), cmd.alias("cmd"), F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("value"))
 
 
-@query("""SELECT greatest(coalesce(max(index), 0), 0)::BIGINT AS commit_index FROM leader WHERE term = (SELECT max(term) FROM leader) AND index <=
-(SELECT m FROM (SELECT (SELECT max(index) FROM leader) - i * 37 AS m, row_number() OVER (ORDER BY (SELECT max(index) FROM leader) - i * 37 DESC) AS r FROM range(5) t(i)) WHERE r = 3)""", _RAFT_SQL)
+_COMMIT_SQL = """SELECT greatest(coalesce(max(index), 0), 0)::BIGINT AS commit_index FROM leader WHERE term = (SELECT max(term) FROM leader) AND index <=
+(SELECT m FROM (SELECT (SELECT max(index) FROM leader) - i * 37 AS m, row_number() OVER (ORDER BY (SELECT max(index) FROM leader) - i * 37 DESC) AS r FROM range(5) t(i)) WHERE r = 3)"""
+
+
+@query(_COMMIT_SQL, _RAFT_SQL)
 def raft_commit_index(spark, d):
     leader = _leader(spark, d)
     top = leader.agg(F.max("index").alias("m"), F.max("term").alias("t")).first()
@@ -437,9 +440,41 @@ def raft_log_conflict(spark, d):
     return raftlog.appended(follower, leader, 0, 0)
 
 
-@query("SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY index DESC) AS n FROM leader WHERE cmd <> 'NoOp' AND index <= 800) WHERE n = 1 AND cmd = 'Put'", _RAFT_SQL)
+@query("SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY index DESC) AS n FROM leader WHERE cmd <> 'NoOp' AND index <= (" + _COMMIT_SQL + ")) WHERE n = 1 AND cmd = 'Put'", _RAFT_SQL)
 def raft_fold(spark, d):
-    return raftlog.fold(_leader(spark, d), 800)
+    """The state of all that a majority has."""
+    return raftlog.fold(_leader(spark, d), raft_commit_index(spark, d).first().commit_index)
+
+
+_ROUND_SQL = _RAFT_SQL + """, old AS (SELECT 'n' || i AS node_id, index, CASE WHEN index > last * (9 - i) // 10 THEN term + i ELSE term END AS term, cmd, key, value
+FROM leader, (SELECT max(index) AS last FROM leader), range(1, 5) t(i) WHERE index <= last * (10 - i) // 10),
+grown AS (SELECT * FROM leader UNION ALL SELECT (SELECT max(index) FROM leader) + n + 1, (SELECT max(term) FROM leader) + 9, 'Put', 'new' || n, 'v' FROM range(40) t(n)),
+round AS (SELECT 'n0' AS node_id, * FROM grown UNION ALL SELECT node_id, g.* FROM grown g, (SELECT unnest(['n1', 'n3']) AS node_id) UNION ALL SELECT * FROM old WHERE node_id IN ('n2', 'n4'))"""
+
+
+def _round(spark, d):
+    """A leader and four followers, each shorter than the one before and with a tail of another term; forty new commands; two followers are reached."""
+    leader = _leader(spark, d)
+    top = leader.agg(F.max("index").alias("last"), F.max("term").alias("term")).first()
+    last, term = top.last or 0, (top.term or 0) + 9
+    old = leader.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(4)))).where(F.col("index") <= F.floor(F.lit(last) * (10 - F.col("i")) / 10))
+    old = old.withColumn("term", F.when(F.col("index") > F.floor(F.lit(last) * (9 - F.col("i")) / 10), F.col("term") + F.col("i")).otherwise(F.col("term")))
+    old = old.select(F.concat(F.lit("n"), F.col("i").cast("string")).alias("node_id"), "index", "term", "cmd", "key", "value")
+    new = spark.range(40).select(F.col("id").alias("pos"), F.lit("Put").alias("cmd"), F.concat(F.lit("new"), F.col("id").cast("string")).alias("key"), F.lit("v").alias("value"))
+    logs = old.unionByName(raftlog.proposed(leader, new, term).withColumn("node_id", F.lit("n0")))
+    return raftlog.replicated(logs, "n0", spark.createDataFrame([("n1",), ("n3",)], "node_id string")), term
+
+
+@query("SELECT node_id, index, term, cmd, key, value FROM round", _ROUND_SQL)
+def raft_round(spark, d):
+    return _round(spark, d)[0]
+
+
+@query("SELECT max(index) AS commit_index FROM grown", _ROUND_SQL)
+def raft_round_commit(spark, d):
+    """The leader and two of four followers have the new entries: all of them are committed."""
+    logs, term = _round(spark, d)
+    return raftlog.commit_index(raftlog.matched(logs, "n0"), logs.where("node_id = 'n0'"), term)
 
 
 @query("SELECT term, count(*) AS entries FROM leader WHERE index >= 100 AND index < 600 GROUP BY term", _RAFT_SQL)
@@ -501,11 +536,15 @@ def resp_bulk(spark, d):
     return R.orders(spark, d).select("key", codecs.resp_bulk(F.col("value")).alias("reply"))
 
 
-@query("SELECT run, '*' || count(*) || chr(13) || chr(10) || string_agg(CASE WHEN value IS NULL THEN '$-1' ELSE '$' || strlen(value) || chr(13) || chr(10) || value END || chr(13) || chr(10), '' ORDER BY seq) AS reply FROM log WHERE seq <= 400 GROUP BY run", R.LOG_SQL)
+BATCH = 64
+
+
+@query(f"SELECT seq // {BATCH} AS batch, '*' || count(*) || chr(13) || chr(10) || string_agg(CASE WHEN value IS NULL THEN '$-1' ELSE '$' || strlen(value) || chr(13) || chr(10) || value END || chr(13) || chr(10), '' ORDER BY seq) AS reply FROM log GROUP BY seq // {BATCH}", R.LOG_SQL)
 def resp_array(spark, d):
+    """The whole log's values as array replies of so many each."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "value")))
-    grouped = R.log(spark, d).where("seq <= 400").groupBy("run").agg(F.transform(ordered, lambda x: x["value"]).alias("v"))
-    return grouped.select("run", codecs.resp_array(F.col("v")).alias("reply"))
+    grouped = R.log(spark, d).groupBy(F.floor(F.col("seq") / BATCH).alias("batch")).agg(F.transform(ordered, lambda x: x["value"]).alias("v"))
+    return grouped.select("batch", codecs.resp_array(F.col("v")).alias("reply"))
 
 
 @query("""SELECT seq AS pos, CASE WHEN op = 'GET' AND held IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, CASE op WHEN 'GET' THEN held WHEN 'EXISTS' THEN CASE WHEN held IS NULL THEN '0' ELSE '1' END END AS payload FROM
@@ -562,26 +601,98 @@ def wire_frames(spark, d):
     return R.log(spark, d).select("seq", F.hex(codecs.frame(codecs.utf8(F.col("key")))).alias("frame"))
 
 
-@query()
+_CRC_SQL = """crc_table AS (SELECT list(c ORDER BY i) AS entries FROM (SELECT i, list_reduce(list_concat([i::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i)))"""
+
+
+@query(f"""SELECT seq, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(body) // 2 + 1), lambda i: ('0x' || substring(body, 2 * i - 1, 2))::BIGINT)),
+lambda c, b: xor(c >> 8, entries[xor(c, b) % 256 + 1])), 4294967295) AS crc FROM
+(SELECT seq, {_hex8('seq', 8)} || {_hex8('CASE WHEN tombstone THEN 2 ELSE 1 END', 1)} || {_text_hex('key')} || {_text_hex('value0')} AS body FROM (SELECT *, coalesce(value, '') AS value0 FROM log)), crc_table""", f"{R.LOG_SQL}, {_CRC_SQL}")
 def crc32_values(spark, d):
-    """Checksums of values; an error where one is not what it should be."""
-    content = codecs.utf8(F.col("value"))
-    return R.log(spark, d).where("not tombstone").select("seq", F.crc32(hashing.crc_matches(content, F.crc32(content))).alias("crc"))
+    """The checksums that log entries bear, each held against the bytes before it; an error where one is wrong."""
+    entry = log_source.encoded(R.log(spark, d))
+    body, borne = F.substring("entry", F.lit(1), F.octet_length("entry") - 4), codecs.read_number(F.col("entry"), F.octet_length("entry") - 4, 4)
+    return entry.select("seq", F.crc32(hashing.crc_matches(body, borne)).alias("crc"))
+
+
+_MIX = "CASE WHEN {0} >= 9223372036854775808::UHUGEINT THEN {0}::HUGEINT - 18446744073709551616::HUGEINT ELSE {0}::HUGEINT END"
+
+
+def _mix_sql(seed: int) -> str:
+    """The 64-bit mix of the key's bytes, in numbers of 128 bits cut to 64."""
+    whole = "18446744073709551616::UHUGEINT"
+    step = f"(xor(h, b) * {bloom.STEP}::UHUGEINT) % {whole}"
+    folded = f"list_reduce(list_concat([{seed}::UHUGEINT], bytes), lambda h, b: xor({step}, ({step}) >> 33))"
+    last = f"xor({folded}, len(bytes)::UHUGEINT)"
+    product = f"((xor({last}, ({last}) >> 33)) * {bloom.LAST}::UHUGEINT) % {whole}"
+    return f"xor({product}, ({product}) >> 33)"
+
 
+BLOOM_RATE = 0.01
 
-@query()
+
+@query("SELECT key, present, bool_and(place IN (SELECT place FROM places WHERE present)) AS maybe FROM places GROUP BY key, present", R.STATE_SQL + f""",
+probes AS (SELECT key, true AS present FROM view UNION ALL SELECT 'absent:' || key, false FROM view),
+coded AS (SELECT key, present, list_transform(range(1, strlen(key) + 1), lambda i: ('0x' || substring(hex(encode(key)), 2 * i - 1, 2))::UHUGEINT) AS bytes FROM probes),
+mixed AS (SELECT key, present, {_mix_sql(bloom.SEEDS[0])} AS h1, {_mix_sql(bloom.SEEDS[1])} AS h2 FROM coded),
+sized AS (SELECT ceil(-n * ln({BLOOM_RATE}::DOUBLE) / (ln(2::DOUBLE) * ln(2::DOUBLE)))::HUGEINT AS bits, n FROM (SELECT greatest(count(*), 1)::DOUBLE AS n FROM view)),
+hashes AS (SELECT bits, greatest(1, floor(bits / n * ln(2::DOUBLE) + 0.5))::BIGINT AS k FROM sized),
+turned AS (SELECT key, present, bits, (h1 + i::UHUGEINT * h2) % 18446744073709551616::UHUGEINT AS h FROM mixed, hashes, range(64) t(i) WHERE i < k),
+places AS (SELECT key, present, (({_MIX.format("h")}) % bits + bits) % bits AS place FROM turned)""")
 def bloom_probe(spark, d):
     """Present and absent keys against the filter of the live keys."""
     view = resolve.view(R.log(spark, d)).select("key")
-    filter_ = bloom.build(view, 1000, 0.01).first().bloom
+    filter_ = bloom.build(view, max(1, view.count()), BLOOM_RATE).first().bloom
     probes = view.withColumn("present", F.lit(True)).unionByName(view.select(F.concat(F.lit("absent:"), "key").alias("key"), F.lit(False).alias("present")))
     return bloom.probe(probes, bytes(filter_))
 
 
+@query(f"SELECT seq // {BATCH} AS batch, row_number() OVER (PARTITION BY seq // {BATCH} ORDER BY seq) - 1 AS pos, key AS content, 0 AS rest FROM log", R.LOG_SQL)
+def wire_frame_stream(spark, d):
+    """Frames of keys in a row, so many a stream, taken apart again."""
+    framed = R.log(spark, d).select("seq", codecs.frame(codecs.utf8(F.col("key"))).alias("f")).groupBy(F.floor(F.col("seq") / BATCH).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("seq", "f"))).alias("fs"))
+    stream = F.aggregate("fs", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["f"]))
+    read = framed.select("batch", codecs.read_frames(stream).alias("r")).select("batch", F.posexplode("r.frames").alias("pos", "frame"), F.octet_length("r.rest").alias("rest"))
+    return read.select("batch", "pos", F.decode("frame", "UTF-8").alias("content"), "rest")
+
+
+@query("SELECT w.key, r.value, r.seq, r.tombstone FROM (SELECT key FROM wanted UNION SELECT key FROM log WHERE seq % 7 = 0) w JOIN resolved r USING (key)", R.STATE_SQL + _WANTED_SQL)
+def run_lookup(spark, d):
+    """Keys looked up one by one in the run files whose range holds them, by each run's own index."""
+    folder = scratch_path(spark, "runs")
+    runs.write(resolve.newest(R.log(spark, d).drop("run", "expire_at")), folder, 4)
+    wanted = scan.keys_frame(spark, WANTED).select("key").unionByName(R.log(spark, d).where("seq % 7 = 0").select("key")).distinct()
+    return runs.lookup(spark, folder, wanted)
+
+
+@query(f"SELECT key, value, expire_at FROM (SELECT key, value, expire_at FROM resolved WHERE NOT tombstone AND key NOT IN ('session:1', 'session:2', 'user:000007') UNION ALL SELECT 'session:1', 's1', {AS_OF + 40_000} UNION ALL SELECT 'session:2', 's2', {AS_OF - 10_000} UNION ALL SELECT 'user:000007', 'short', {AS_OF + 1}) WHERE expire_at IS NULL OR expire_at > {AS_OF}", R.STATE_SQL)
+def kv_ttl_put(spark, d):
+    """Writes with a time to live: visible until it is over."""
+    own = R.log(spark, d).drop("run")
+    writes = [("session:1", "s1", AS_OF - 20_000, 60_000), ("session:2", "s2", AS_OF - 70_000, 60_000), ("user:000007", "short", AS_OF - 9, 10)]
+    rows = [(k, v, (1 << 40) + i, False, ttl.deadline(now, ms)) for i, (k, v, now, ms) in enumerate(writes)]
+    put = spark.createDataFrame(rows, own.schema)
+    return ttl.visible(resolve.live(resolve.newest(own.unionByName(put))), AS_OF).select("key", "value", "expire_at")
+
+
+_CRLF = "chr(13) || chr(10)"
+
+
+@query(f"""SELECT event_id AS pos, CASE event_id % 8 WHEN 0 THEN '+PONG' || {_CRLF} WHEN 1 THEN '$' || strlen(event_type) || {_CRLF} || event_type || {_CRLF} WHEN 2 THEN '+OK' || {_CRLF}
+WHEN 3 THEN ':' || (CASE WHEN h IS NULL THEN 0 ELSE 2 END) || {_CRLF} WHEN 4 THEN '+OK' || {_CRLF} WHEN 5 THEN '-ERR unknown command ' || chr(39) || 'BOGUS' || chr(39) || {_CRLF} WHEN 6 THEN '-ERR GET requires key' || {_CRLF}
+ELSE CASE WHEN h IS NULL THEN '$-1' ELSE '$' || strlen(h) || {_CRLF} || h END || {_CRLF} END AS reply FROM
+(SELECT *, last_value(CASE WHEN event_id % 8 = 2 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM events)""")
+def resp_more_commands(spark, d):
+    """PING, MSET, EXISTS, COMMAND, GET, and commands that are wrong."""
+    e = R.table(spark, d, "events").withColumn("k", F.concat(F.lit("k"), F.col("user_id").cast("string")))
+    kinds = [["ping"], ["PING", F.col("event_type")], ["mset", F.col("k"), F.col("event_type"), F.concat("k", F.lit("'")), F.col("event_type")], ["EXISTS", F.col("k"), F.col("k"), F.lit("absent")], ["COMMAND"], ["bogus", F.col("k")], ["get"], ["Get", F.col("k")]]
+    words = F.coalesce(*[F.when(F.col("event_id") % 8 == i, F.array(*[F.lit(x) if isinstance(x, str) else x for x in k])) for i, k in enumerate(kinds)])
+    return commands.run_commands(resp.parse_commands(e.select(F.col("event_id").alias("pos"), codecs.utf8(codecs.resp_array(words)).alias("data")))).select("pos", "reply")
+
+
 @query("SELECT run, seq, CASE WHEN lag(seq) OVER (PARTITION BY run ORDER BY seq) IS NULL THEN 0 ELSE seq - lag(seq) OVER (PARTITION BY run ORDER BY seq) END AS step FROM log", R.LOG_SQL)
 def log_gaps(spark, d):
-    by = W.partitionBy("run").orderBy("seq")
-    return R.log(spark, d).select("run", "seq", F.coalesce(F.col("seq") - F.lag("seq").over(by), F.lit(0)).alias("step"))
+    placed = with_last_before(R.log(spark, d).select("run", "seq"), "run", "seq", F.col("seq"), "before")
+    return placed.select("run", "seq", F.coalesce(F.col("seq") - F.col("before"), F.lit(0)).alias("step"))
 
 
 # Stores and files: written to the shared folder and read back
@@ -589,12 +700,24 @@ def log_gaps(spark, d):
 _ROWS_SQL = "SELECT key, value, seq, tombstone FROM log"
 
 
+WAL_SPAN = 4096
+
+
 @query(_ROWS_SQL, R.LOG_SQL)
 def wal_files(spark, d):
-    """Four log files, one for each run of the log."""
+    """The log as files of spans of seq, and read back."""
     folder = scratch_path(spark, "wal")
-    for i in range(R.RUNS):
-        log_source.append(R.log(spark, d).where(F.col("run") == i), folder, f"{i:06d}.wal")
+    log_source.append_spans(R.log(spark, d), folder, "log.wal", WAL_SPAN)
+    return log_source.read(spark, folder).select("key", "value", "seq", "tombstone")
+
+
+@query(f"SELECT key, value, seq, tombstone FROM (SELECT *, min(CASE WHEN seq % 1000 = 777 THEN seq END) OVER (PARTITION BY seq // {WAL_SPAN}) AS hurt FROM log) WHERE hurt IS NULL OR seq < hurt", R.LOG_SQL)
+def wal_damaged(spark, d):
+    """The same files, with the checksum of each thousandth entry wrong: of every file the entries before the first such one."""
+    folder = scratch_path(spark, "wal")
+    entry = F.when(F.col("seq") % 1000 == 777, F.concat(F.substring("entry", F.lit(1), F.octet_length("entry") - 4), F.unhex(F.lit("00C0FFEE")))).otherwise(F.col("entry"))
+    hurt = log_source.encoded(R.log(spark, d)).withColumn("entry", entry)
+    files.write_spans(hurt, ["entry"], lambda rows: b"".join(r[0] for r in rows), folder, "log.wal", "seq", WAL_SPAN)
     return log_source.read(spark, folder).select("key", "value", "seq", "tombstone")
 
 
@@ -608,7 +731,7 @@ def run_files(spark, d):
 @query("SELECT key, value FROM view", R.STATE_SQL)
 def snapshot_files(spark, d):
     folder = scratch_path(spark, "snapshot")
-    snapshot.write(resolve.view(R.log(spark, d)), folder, "view.snap")
+    snapshot.write(resolve.view(R.log(spark, d)), folder, "view.snap", 4)
     return snapshot.read(spark, folder)
 
 
@@ -640,10 +763,10 @@ def lake_snapshot(spark, d):
     return read_snapshot(spark, target)
 
 
-@query(f"SELECT key, value FROM resolved WHERE NOT tombstone AND (expire_at IS NULL OR expire_at > {AS_OF + 2 * R.DAY_MS})", R.STATE_SQL)
+@query(f"SELECT key, value FROM resolved WHERE NOT tombstone AND (expire_at IS NULL OR expire_at > {AS_OF})", R.STATE_SQL)
 def lake_evicted(spark, d):
     lake = _lake(spark, d)
-    lake.evict(AS_OF + 2 * R.DAY_MS)
+    lake.evict(AS_OF)
     return lake.view()
 
 
@@ -652,16 +775,17 @@ def stream_latest(spark, d):
     """The newest versions kept by a stream over the events' files, until all are read."""
     schema = R.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
-    name = "latest_" + scratch_path(spark, "x").rpartition("-")[2]
-    views.to_memory(views.latest(R.mutations(events).drop("run")), name, scratch_path(spark, "stream")).start().awaitTermination()
-    return spark.table(name).select("key", "value", "seq", "tombstone", "expire_at")
+    folder = scratch_path(spark, "latest")
+    views.into_folder(views.latest(R.mutations(events).drop("run")), folder, scratch_path(spark, "stream")).start().awaitTermination()
+    return views.from_folder(spark, folder).select("key", "value", "seq", "tombstone", "expire_at")
 
 
 # More of the inventory
 
-@query("SELECT key, CASE WHEN a.seq IS NULL OR b.seq > a.seq THEN coalesce(b.seq, a.seq) ELSE a.seq END AS seq FROM (SELECT key, max(seq) AS seq FROM log WHERE run = 0 GROUP BY key) a FULL JOIN (SELECT key, max(seq) AS seq FROM log WHERE run = 1 GROUP BY key) b USING (key)", R.LOG_SQL)
+@query("SELECT key, CASE WHEN a.seq IS NULL OR b.seq > a.seq THEN coalesce(b.seq, a.seq) ELSE a.seq END AS seq FROM (SELECT key, max(seq) AS seq FROM log WHERE run < 2 GROUP BY key) a FULL JOIN (SELECT key, max(seq) AS seq FROM log WHERE run >= 2 GROUP BY key) b USING (key)", R.LOG_SQL)
 def kv_resolve_two(spark, d):
-    side = lambda i: resolve.newest(R.log(spark, d).where(F.col("run") == i).select("key", "value", "seq")).select("key", F.struct("seq", "value").alias(f"v{i}"))
+    """Two halves of the log, resolved apart and then with each other."""
+    side = lambda i: resolve.newest(R.log(spark, d).where(F.floor(F.col("run") / 2) == i).select("key", "value", "seq")).select("key", F.struct("seq", "value").alias(f"v{i}"))
     both = side(0).join(side(1), "key", "full")
     return both.select("key", resolve.either(F.col("v0"), F.col("v1"))["seq"].alias("seq"))
 
@@ -673,10 +797,10 @@ def kv_clear(spark, d):
     return resolve.view(batch.appended(R.log(spark, d).select("key", "value", "seq", "tombstone"), gone))
 
 
-@query(f"SELECT key, seq + 1 AS seq, true AS tombstone FROM resolved WHERE NOT tombstone AND expire_at <= {AS_OF + 30 * R.DAY_MS}", R.STATE_SQL)
+@query(f"SELECT key, seq + 1 AS seq, true AS tombstone FROM resolved WHERE NOT tombstone AND expire_at <= {AS_OF}", R.STATE_SQL)
 def kv_ttl_evictions(spark, d):
     live = resolve.live(resolve.newest(R.log(spark, d).drop("run")))
-    return ttl.evictions(live, AS_OF + 30 * R.DAY_MS).select("key", "seq", "tombstone")
+    return ttl.evictions(live, AS_OF).select("key", "seq", "tombstone")
 
 
 @query("SELECT * FROM (VALUES (0, true), (1, true), (2, true), (3, true), (4, false), (5, false)) t(i, blank)")

@@ -41,7 +41,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, n: int, first: int = 1) -> DataFrame:
-    return spark.range(first, first + n).select(F.concat(F.lit("node"), F.col("id").cast("string")).alias("node_id"))
+    return spark.range(first, first + n, 1, 1).select(F.concat(F.lit("node"), F.col("id").cast("string")).alias("node_id"))
 
 
 def replica_state(mutations: DataFrame, n: int = 3) -> DataFrame:

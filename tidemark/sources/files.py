@@ -72,6 +72,22 @@ def write_each(df: DataFrame, folder: str) -> int:
     return df.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def write_spans(df: DataFrame, columns: list[str], encode: Callable[[list[tuple]], bytes], folder: str, name: str, by: str, span: int) -> int:
+    """Writes df as files of spans of an integer column, each sorted by it; returns how many. What a span holds is known beforehand, and is one task's work.
+
+    A file is called name with the number of its span before the suffix.
+    """
+    stem, dot, suffix = name.rpartition(".")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.sort_by(by)[c].to_pylist() for c in columns), strict=True))
+        return pa.table({"name": [f"{stem}-{key[0].as_py():012d}{dot}{suffix}"], "content": pa.array([encode(rows)], pa.binary())})
+
+    ship(df.sparkSession)
+    dealt = df.select(*dict.fromkeys([by, *columns]), F.floor(F.col(by) / span).alias("_span"))
+    return write_each(dealt.groupBy("_span").applyInArrow(run, "name string, content binary"), folder)
+
+
 def write_parts(df: DataFrame, columns: list[str], encode: Callable[[list[tuple]], bytes], folder: str, name: str, parts: int, by: Column | str) -> int:
     """Writes df as files of ranges of a column, sorted by it; returns how many. A range must fit in one task's memory.
 

@@ -18,6 +18,7 @@ from tidemark.sources import files
 
 _HEAD, _LENGTH, _CRC = struct.Struct(">qbi"), struct.Struct(">i"), struct.Struct(">I")
 SCHEMA = "seq long, op string, key string, value string"
+SPAN = 65_536
 
 
 class CorruptEntry(ValueError):
@@ -78,6 +79,11 @@ def encoded(mutations: DataFrame) -> DataFrame:
     return mutations.select("seq", codecs.log_entry(F.col("seq"), op, F.col("key"), value).alias("entry"))
 
 
+def append_spans(mutations: DataFrame, folder: str, name: str, span: int = SPAN) -> int:
+    """Writes one batch as files of spans of seq, so that a long batch is many tasks' work; returns the number of files."""
+    return files.write_spans(encoded(mutations), ["entry"], lambda rows: b"".join(r[0] for r in rows), folder, name, "seq", span)
+
+
 def append(mutations: DataFrame, folder: str, name: str, parts: int = 1) -> int:
     """Writes one batch, its entries in order of seq, as one file or as several ranges of seq; returns the number of files."""
     return files.write_parts(encoded(mutations), ["entry"], lambda rows: b"".join(r[0] for r in rows), folder, name, parts, "seq")

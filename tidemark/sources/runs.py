@@ -10,7 +10,9 @@ import bisect
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,13 @@ class Run:
             at += _LENGTH.size + v
             yield key, None if flag else self.data[at - v : at].decode(), seq, bool(flag)
 
+    def ends(self) -> Iterator[tuple[str, str]]:
+        """The first and the last key, if there are entries: the last follows the last indexed one."""
+        if self.places:
+            first = next(self.entries())[0]
+            *_, last = self.entries(self.places[-1])
+            yield first, last[0]
+
     def get(self, key: str) -> tuple[str, str | None, int, bool] | None:
         """By binary search in the index and a short walk."""
         i = bisect.bisect_right(self.keys, _order(key)) - 1
@@ -93,6 +102,44 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("key", "value", "seq", "tombstone", F.lit(None).cast("long").alias("expire_at"), F.col("path").alias("source"))
 
 
+def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The entries of run files that wanted (key) names: key, value, seq, tombstone.
+
+    The first and last key of each file, like a manifest a row for each, send a key to the runs that may hold it; a task opens a run and finds
+    its keys by the run's index.
+    """
+    opened = files.contents(spark, path)
+    ends = files.decoded(opened, lambda data: Run(data).ends(), "first string, last string").collect()
+    ranges = sorted((_order(r["first"]), _order(r["last"]), r["path"]) for r in ends)
+    lows, reach = [low for low, _, _ in ranges], list(accumulate((high for _, high, _ in ranges), max))
+
+    def holders(key: str) -> list[str]:
+        found, at, i = [], _order(key), bisect.bisect_right(lows, _order(key)) - 1
+        while i >= 0 and reach[i] >= at:  # no range before reaches the key
+            if ranges[i][1] >= at:
+                found.append(ranges[i][2])
+            i -= 1
+        return found
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sent = [(p, k) for k in batch["key"].to_pylist() if k is not None for p in holders(k)]
+            yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in sent], pa.string()), "key": pa.array([k for _, k in sent], pa.string())})
+
+    asked = wanted.select("key").mapInArrow(send, "path string, key string")
+
+    def find(key: tuple, runs: pa.Table, keys: pa.Table) -> pa.Table:
+        found = []
+        for content in runs["content"].to_pylist():
+            run = Run(content)
+            found += [e for k in keys["key"].to_pylist() if (e := run.get(k))]
+        columns = list(zip(*found, strict=True)) or [[], [], [], []]
+        kinds = {"key": pa.string(), "value": pa.string(), "seq": pa.int64(), "tombstone": pa.bool_()}
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)})
+
+    return opened.groupBy("path").cogroup(asked.groupBy("path")).applyInArrow(find, SCHEMA)
+
+
 def write(resolved: DataFrame, folder: str, partitions: int = 1, created_ms: int = 0) -> int:
     """Resolved entries as run files, each a range of keys; returns how many files."""
     return files.write_parts(resolved, ["key", "value", "seq", "tombstone"], lambda rows: encode(rows, created_ms), folder, "run.sst", partitions, sort_key(F.col("key"), "utf16"))

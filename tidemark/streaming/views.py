@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators.membership import DOWN_MS, SUSPECT_MS, classify
+from tidemark.operators.resolve import newest
 from tidemark.sources.lake import Lake
 
 
@@ -17,9 +18,25 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def to_memory(view: DataFrame, name: str, checkpoint: str) -> DataStreamWriter:
+    """A small view (a status page, a test) as a table on the driver; see into_folder for any other."""
     return view.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def into_folder(view: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Writes the rows of an aggregated view that each micro-batch changes, as Parquet under the batch's number; a batch done again is written over."""
+
+    def commit(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/_at={batch}")
+
+    return view.writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def from_folder(spark: SparkSession, folder: str, by: str = "key") -> DataFrame:
+    """The view that into_folder keeps: of each key the row of the last batch that changed it."""
+    rows = spark.read.option("basePath", folder).parquet(f"{folder}/_at=*").withColumn("_at", F.col("_at").cast("long"))
+    return newest(rows, by=by, seq="_at").drop("_at")
+
+
 def into_lake(mutations: DataFrame, lake: Lake, checkpoint: str) -> DataStreamWriter:
     """Appends each micro-batch of mutations to a lake. A batch that is done again after a failure changes nothing: equal seq, equal rows."""
 
