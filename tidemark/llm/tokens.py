@@ -17,14 +17,15 @@ from array import array
 import numpy as np
 
 END_ID = 2
-KEPT_BYTES = 64_000_000  # of a generation of pieces, about; two are kept
+KEPT_BYTES = 128_000_000  # of a generation of pieces, about; two are kept
 KEPT_MARKS = 4096
 LONGEST_PIECE = 64
 _ENTRY = 200  # bytes of a kept piece besides its letters and ids
 
 _PLAIN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _RUNS = ("\t", "\r", "  ", " \n", "\n ", "\n\n")
-_LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = ".,;:!?"
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
@@ -45,16 +46,16 @@ def byte_letters() -> dict[int, str]:
 class Kept(dict):
     """Ids of pieces that follow a certain space (or none), made at the first use.
 
-    When it is full it becomes the old generation and is emptied; pieces used again come back from there.
+    When it holds limit bytes it becomes the old generation and is emptied; pieces used again come back from there.
     """
 
-    def __init__(self, encoder: Encoder, space: str = ""):
+    def __init__(self, encoder: Encoder, limit: int, space: str = ""):
         super().__init__()
-        self.encoder, self.space, self.old, self.held = encoder, space, {}, 0
+        self.encoder, self.limit, self.space, self.old, self.held = encoder, limit, space, {}, 0
 
     def _keep(self, piece: str, ids: bytes) -> bytes:
         if len(piece) <= LONGEST_PIECE:
-            if self.held > KEPT_BYTES:
+            if self.held > self.limit:
                 self.old = {}  # freed before the next copy is made
                 self.old = dict(self)
                 self.clear()
@@ -64,19 +65,17 @@ class Kept(dict):
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        if piece in self.old:
-            return self._keep(piece, self.old[piece])
-        letters = _LETTERS.fullmatch(piece)
-        if not letters:
-            ids = self.encoder.whole(self.space + piece)
-        elif letters[2]:
-            known = letters[1] in self or letters[1] in self.old
-            ids = self[letters[1]] + self.encoder.marks(letters[2])
-            if not known:
-                return ids
-        else:
-            ids = self.encoder.word(self.space + piece)
-        return self._keep(piece, ids)
+        ids = self.old.get(piece)
+        if ids is not None:
+            return self._keep(piece, ids)
+        bare = piece.rstrip(_MARKS)
+        if not (bare.isascii() and bare.isalpha() or _LETTERS.fullmatch(bare)):
+            return self._keep(piece, self.encoder.whole(self.space + piece))
+        if len(bare) == len(piece):
+            return self._keep(piece, self.encoder.word(self.space, piece))
+        known = bare in self
+        ids = self[bare] + self.encoder.marks(piece[len(bare) :])
+        return self._keep(piece, ids) if known else ids
 
 
 class Encoder:
@@ -97,9 +96,9 @@ class Encoder:
         narrow = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self._code = np.dtype("<u2" if narrow else "<u4"), "H" if narrow else "I"
         self.model, self._letters = self.tokenizer.model, byte_letters()
-        self.plain, self.spaced, self._marks = Kept(self), Kept(self, " "), {}
         # With a normalizer, which makes lower case and drops white space, words are the pieces; without, a space belongs to what follows.
         self.lower = self.tokenizer.normalizer is not None
+        self.plain, self.spaced, self._marks = Kept(self, KEPT_BYTES if self.lower else KEPT_BYTES // 4), Kept(self, KEPT_BYTES * 3 // 4, " "), {}
         self.line_end = b"" if self.lower else self.whole("\n")
 
     @classmethod
@@ -123,11 +122,11 @@ class Encoder:
             self._marks[piece] = self.whole(piece)
         return self._marks[piece]
 
-    def word(self, piece: str) -> bytes:
+    def word(self, space: str, piece: str) -> bytes:
         """The model's ids of a piece of letters, after what the tokenizer does before: lower case, and letters for bytes."""
         piece = piece.lower() if self.lower else piece
-        written = piece.encode().decode("latin-1").translate(self._letters)
-        return array(self._code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+        return array(self._code, [t.id for t in self.model.tokenize(space.translate(self._letters) + written)]).tobytes()
 
     def _line(self, line: str) -> bytes:
         first, *rest = line.split(" ")
