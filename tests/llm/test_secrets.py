@@ -1,6 +1,10 @@
 import hashlib
+import math
+import random
 import re
 
+import pytest
+
 from tidemark.llm import queries, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -85,3 +89,103 @@ def test_secrets_after_long_paths_are_found(spark):
     got = {r.doc_id: [r.text[s.start : s.end] for s in r.added] for r in rows}
     assert got == {0: [a], 1: [a, b], 2: [b], 3: [], 4: [], 5: [a]}
     assert all(s.log_ratio > secrets.THRESHOLD and s.ord == 3 for r in rows for s in r.added)
+
+
+def brute_model(samples):
+    """The two models by their definition: counts of character pairs, smoothed, as logarithms of the ratio."""
+    states = [*secrets.ALPHABET, None]
+    counts = {k: {(a, b): secrets.SMOOTHING for a in states for b in states} for k in (True, False)}
+    for token, is_random in samples:  # all of them of the alphabet
+        for a, b in zip([None, *token], token, strict=False):
+            counts[is_random][a, b] += 1
+    totals = {k: {a: sum(c[a, b] for b in states) for a in states} for k, c in counts.items()}
+    return lambda a, b: math.log(counts[True][a, b] / totals[True][a]) - math.log(counts[False][a, b] / totals[False][a])
+
+
+def brute_added(text, ratio):
+    """Spans of the runs with letters and digits outside base spans: whole where their ratio is over the threshold, else the stretches that rise over it."""
+    base, out = brute(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or any(a < m.end() and m.start() < b for a, _, b in base):
+            continue
+        steps = [ratio(a, b) for a, b in zip([None, *run], run, strict=False)]
+        if math.fsum(steps) > secrets.THRESHOLD:
+            out.append((m.start(), m.end(), math.fsum(steps)))
+            continue
+        found, s, first, last, peak = [], 0.0, 0, 0, 0.0
+        for at, x in enumerate([*steps, -1e9], 1):
+            s += x
+            if s <= 0 or s < peak - secrets.THRESHOLD:
+                if peak > secrets.THRESHOLD:
+                    found.append([first, last, peak])
+                s, first, last, peak = 0.0, at, at, 0.0
+            elif s > peak:
+                last, peak = at, s
+        wide = []
+        for a, b, r in found:
+            while a and run[a - 1] not in secrets.SEPARATORS:
+                a -= 1
+            while b < len(run) and run[b] not in secrets.SEPARATORS:
+                b += 1
+            if wide and a <= wide[-1][1]:
+                wide[-1] = [wide[-1][0], max(wide[-1][1], b), max(wide[-1][2], r)]
+            else:
+                wide.append([a, b, r])
+        out += [(m.start() + a, m.start() + b, r) for a, b, r in wide if b - a >= secrets.LEAST]
+    return out
+
+
+def mixed_texts(n, seed):
+    """Texts with random tokens, and identifiers of words that the default samples don't have; (text, spans of the tokens)."""
+    rng = random.Random(seed)
+    other = "abandon barrel candle dolphin elbow falcon garden harvest island jungle kitchen lantern meadow needle orchard pillow quarry ribbon saddle timber umbrella velvet walnut yonder zephyr".split()
+    out = []
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(6):
+            if rng.random() < 0.4:
+                token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([24, 32, 40])))
+                before = rng.choice(["", "/".join(rng.choices(other, k=4)) + "/"])
+                spans.append((len(text) + len(before), len(text) + len(before) + len(token)))
+                text += before + token
+            else:
+                words = rng.choices(other, k=rng.randint(3, 6))
+                text += rng.choice(["_".join(words) + "_7", "".join(w.title() for w in words) + "42", "-".join(words) + "-2024", "/".join(words) + "/v3", "_".join(words).upper() + "_1"])
+            text += rng.choice([" ", ", ", "\n", " é "])
+        out.append((text, spans))
+    return out
+
+
+def test_added_spans_equal_brute_force_scores(spark, sf_dir):
+    samples = secrets.default_samples(spark, 300)
+    model = secrets.train(samples)
+    ratio = brute_model([(r.token, r.is_random) for r in samples.collect() if r.token])
+    texts = [t for t, _ in mixed_texts(60, 1)] + [t for t in TEXTS if t] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    texts = [t or "" for t in texts]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(rows) == len(texts) and sum(len(r.added) for r in rows) > 50
+    for r in rows:
+        want = brute_added(r.text, ratio)
+        assert [(s.start, s.end) for s in r.added] == [(a, b) for a, b, _ in want], r.text[:200]
+        assert all(abs(s.log_ratio - x) < 1e-3 for s, (_, _, x) in zip(r.added, want, strict=True))
+
+
+def test_precision_and_recall_on_new_words(spark):
+    cases = mixed_texts(150, 2)
+    rows = secrets.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    planted = {(i, a, b) for i, (_, spans) in enumerate(cases) for a, b in spans}
+    found = {(r.doc_id, s.start, s.end) for r in rows for s in (*r.added, *r.base)}
+    caught = sum(any(i == j and x < b and a < y for j, x, y in found) for i, a, b in planted)
+    right = sum(any(i == j and x < b and a < y for i, a, b in planted) for j, x, y in found)
+    print("not planted:", [cases[j][0][x:y] for j, x, y in sorted(found) if not any(i == j and x < b and a < y for i, a, b in planted)][:12])
+    print(f"recall {caught}/{len(planted)}, precision {right}/{len(found)}")
+    assert caught / len(planted) >= 0.95 and right / len(found) >= 0.95
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "secret=abcdefg", "mine", "too")], "doc_id long, text string, base string, added string")
+    with pytest.raises(ValueError):
+        secrets.scan(docs)
+    row = secrets.scan(docs, added=("own spans", "model.spans")).first()
+    assert (row.base, row.added, len(row["own spans"])) == ("mine", "too", 1)

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import let, match_spans
+from tidemark.llm.columns import let, match_spans, unused
 
 # Sentences of licences and licence notices, by identifier.
 SENTENCES = {
@@ -146,8 +146,10 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with found: array of licence, start and end (code points) in order."""
+def scan(docs: DataFrame, added: str = "found") -> DataFrame:
+    """docs with found: array of licence, start and end (code points) in order; added: its name, which docs must not have."""
+    if unused(docs.columns, added) != [added]:
+        raise ValueError(f"docs has a column of this name already: {added}")
     text = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("\n\n"))  # so that the last sentence ends
     table, licences = _map(known() | variants()), _map(dict(rules()))
 
@@ -188,4 +190,4 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.transform(hits, lambda h: F.struct(F.element_at(licences, h["hit"]).alias("licence"), F.element_at(u, h["start"] + 1)["start"].alias("start"), F.element_at(u, h["end"])["end"].alias("end")))
 
     found = F.when(text.rlike(NEEDED), let(units, matched))
-    return docs.withColumn("found", F.coalesce(found, F.array().cast("array<struct<licence:string,start:int,end:int>>")))
+    return docs.withColumn(added, F.coalesce(found, F.array().cast("array<struct<licence:string,start:int,end:int>>")))

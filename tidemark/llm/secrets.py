@@ -6,7 +6,8 @@ run doesn't, as in a long path before a secret, its best stretches are, out to t
 Everything is DataFrame functions: the text is scanned once, and nothing is shuffled but the samples.
 
 Defined results: null text is the empty text and has no spans; rows with null or repeated doc_id are scanned like any other;
-extra columns are kept by scan(). An empty table gives an empty result.
+extra columns are kept by scan(). Of overlapping matches of two kinds both are given; an added span overlaps no base one. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import let, match_spans
+from tidemark.llm.columns import exactly, let, match_spans, unused
 
 # The base patterns, their kinds in order, and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,26 +31,38 @@ CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 SEPARATORS = "/_=-"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = len(ALPHABET)  # the state before the first character
-THRESHOLD = 10.0  # nats
+THRESHOLD = 14.0  # nats; random strings have about 1.4 a sign
 SMOOTHING = 0.5
 
 # Words that ordinary identifiers of the default samples are made of.
 IDENTIFIER_WORDS = (
-    "access account action address admin agent alert api app archive array async auth backup batch block body bucket buffer build bundle byte cache call card cart "
-    "channel chart check child class client clock cloud code column commit config connection container content context control cookie copy core count counter course "
-    "create current cursor customer data date debug default delete deploy description device dialog document domain download driver edit email enable encoding end engine "
-    "entry error event example export factory field file filter flag folder form format function gateway group handler header height hidden history home host http icon "
-    "image import index info input instance integer internal invoice item job key label language layer layout length level library license limit line link list loader "
-    "local location log login manager map master max member memory message meta method metric min mode model module monitor name network node number object offset"
+    "access account action address alert api app archive array async auth backup batch block bucket buffer build cache call channel check class client "
+    "cloud code column commit config container content core count create data date debug default deploy device document domain email enable encode engine "
+    "entry error event export factory field file filter format function gateway group handler header history host image import index info input instance "
+    "item job key label language length library limit line link list local log main manager map match memory message method metric mode model module name "
+    "network node number object option order output package page parent parse password path payment policy port process product profile project query queue "
+    "range read record region remote report request result role root route row rule schedule schema search secret section server service session size "
+    "source stage state status storage stream string style system table task template test text thread token total type unit update url user value vector "
+    "version view web widget window worker write year zone"
 ).split()
 
 
+# Parts of syllables, from which other pronounceable words are made.
+ONSETS = "b bl br c ch cl cr d dr f fl fr g gl gr h j k l m n p pl pr qu r s sc sh sl sm sn sp st str sw t th tr tw v w wh y z".split()
+NUCLEI = "a a a ai e e e ea ee er i i i ie io o o o oo ou ow u u".split()
+CODAS = "ck d g l ll m n n nd ng nk nt p r r rd rk rm rn rt s ss st t th w x".split()
+
+
 def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """Labelled samples (token, is_random), made by rule: digests in several encodings, and identifiers of words."""
-    words = F.array(*[F.lit(w) for w in IDENTIFIER_WORDS])
-    word = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_WORDS))) + 1).cast("int"))
+    """Labelled samples (token, is_random), made by rule: digests in several encodings, and identifiers of words, known ones and ones made of syllables."""
+    chance = lambda k, m: F.pmod(F.xxhash64("id", *([F.lit(x) if isinstance(x, str) else x for x in k])), F.lit(m)).cast("int")
+    pick = lambda values, *k: F.element_at(F.split(F.lit(" ".join(values)), " "), chance(k, len(values)) + 1)
+    syllable = lambda *k: F.concat(pick(ONSETS, *k, "o"), pick(NUCLEI, *k, "n"), F.when(chance((*k, "c"), 2) == 0, pick(CODAS, *k, "d")).otherwise(F.lit("")))
+    made = lambda i: F.concat(syllable(i, "a"), syllable(i, "b"), F.when(chance((i, "s"), 2) == 0, F.lit("")).otherwise(pick(NUCLEI, i, "e")))
+    word = lambda k: F.element_at("words", k)
     number = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("string")
-    ids = spark.range(0, n, 1, 4)
+    either = lambda i: F.when(chance((i, "w"), 2) == 0, made(i)).otherwise(pick(IDENTIFIER_WORDS, i))
+    ids = spark.range(0, n, 1, 4).select("id", F.transform(F.sequence(F.lit(1), F.lit(30)), either).alias("words"))
     digest = lambda k: F.unhex(F.sha2(F.concat_ws("-", F.col("id").cast("string"), F.lit(k)).cast("binary"), 256))
     b64 = lambda k: F.base64(digest(k))
     random = [
@@ -62,6 +75,7 @@ def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     ordinary = [
         F.concat_ws("_", word(1), word(2), word(3), number(4, 100)),
         F.concat(word(5), F.initcap(word(6)), F.initcap(word(7)), number(8, 1000)),
+        F.concat(F.initcap(word(27)), F.initcap(word(28)), F.initcap(word(29)), number(30, 100)),
         F.concat_ws("-", word(9), word(10), F.concat(F.lit("20"), F.lpad(number(11, 40), 2, "0")), F.lpad(number(12, 12), 2, "0"), F.lpad(number(13, 28), 2, "0")),
         F.upper(F.concat_ws("_", word(14), word(15), word(16), number(17, 10))),
         F.concat_ws("/", word(18), word(19), F.concat(word(20), number(21, 10000)), word(22)),
@@ -147,8 +161,13 @@ def stretches(token: Column, model: list[float], threshold: float = THRESHOLD) -
     return F.filter(F.aggregate(F.transform(found, widened), none, joined_on), lambda x: x["end"] - x["start"] >= LEAST)
 
 
-def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with base (array of kind, start, end) and added (likewise, with the log ratio), each by start."""
+ADDED = ("base", "added")
+
+
+def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD, added: tuple[str, str] | list[str] = ADDED) -> DataFrame:
+    """docs with base (array of kind, start, end) and added (likewise, with the log ratio), each by start, under the names of added, which docs must not have."""
+    if unused(docs.columns, *added) != list(added):
+        raise ValueError(f"docs has columns of these names already: {added}")
     model = model or train(default_samples(docs.sparkSession))
     text = F.coalesce(F.col("text"), F.lit(""))
     typed = lambda spans, k: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("ord"), s["end"].alias("end")))
@@ -160,15 +179,15 @@ def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = T
         )
     )
     mixed = lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]")
-    out = docs.withColumn("base", base)
-    free = F.filter(match_spans(text, CANDIDATE, mixed), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    out = docs.withColumn(added[0], base)
+    free = F.filter(match_spans(text, CANDIDATE, mixed), lambda c: ~F.exists(exactly(added[0]), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
     def scored(c: Column) -> Column:
         whole = lambda r: F.array(F.struct(F.lit(0).alias("start"), F.length(c["hit"]).alias("end"), r.alias("log_ratio")))
         parts = let(log_ratio(c["hit"], model), lambda r: F.when(r > threshold, whole(r)).otherwise(stretches(c["hit"], model, threshold)))
         return F.transform(parts, lambda x: F.struct((c["start"] + x["start"]).alias("start"), F.lit(3).alias("ord"), (c["start"] + x["end"]).alias("end"), x["log_ratio"].alias("log_ratio")))
 
-    return out.withColumn("added", F.flatten(F.transform(free, scored)))
+    return out.withColumn(added[1], F.flatten(F.transform(free, scored)))
 
 
 def joined(spans: Column) -> Column:
