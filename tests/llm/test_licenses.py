@@ -1,6 +1,8 @@
 import re
 import textwrap
 
+import pytest
+
 from tidemark.llm import licenses, queries
 
 B = re.compile(licenses.BOUNDARY)
@@ -89,6 +91,11 @@ USUAL = {
     "CC0-1.0": full("cc0"),
     "Unlicense": full("unlicense"),
 }
+USUAL |= {
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+    "LGPL-3.0-or-later": "# SPDX-License-Identifier: LGPL-3.0-or-later\n\n" + full("lgpl3-free"),
+    "AGPL-3.0-or-later": full("agpl-free") + "\nSPDX-License-Identifier: AGPL-3.0-or-later\n",
+}
 USUAL["BSD-3-Clause"] = USUAL["BSD-2-Clause"].replace("THIS SOFTWARE", "3. " + full("bsd-endorse") + "\nTHIS SOFTWARE")
 
 
@@ -125,3 +132,20 @@ def test_lines_within_a_block_are_looked_up(spark):
     got = names(spark, texts)
     assert [[n for n, _ in got[i]] for i in range(len(texts))] == [["MIT"], ["MIT"], ["MIT"], ["MIT", "Apache-2.0"], ["MIT"], ["BSD-3-Clause"], [], []]
     assert [got[i][0][1] for i in range(4)] == [spdx, "MIT License", spdx, spdx]
+
+
+def test_disclaimers_belong_to_their_licence(spark):
+    parts = [licenses.SENTENCES[n][0] for n in ("bsd-warranty", "bsd-liability", "bsd-loss", "bsd-cause")]
+    disclaimer = "\n".join(textwrap.wrap(f"{parts[0]}. {parts[1]}; {parts[2]}; {parts[3]}.", 76))
+    two, three = full(*BSD), full(*BSD, "bsd-endorse")
+    got = names(spark, [two + "\n" + disclaimer, three + "\n" + disclaimer, disclaimer, "// SPDX-License-Identifier: BSD-3-Clause\n\nint x;"])
+    assert [[n for n, _ in got[i]] for i in range(4)] == [["BSD-2-Clause"], ["BSD-3-Clause"], [], ["BSD-3-Clause"]]
+    assert got[0][0][1].endswith("SUCH DAMAGE") and got[1][0][1].endswith("SUCH DAMAGE")
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "MIT License\n", "mine")], "doc_id long, text string, found string")
+    with pytest.raises(ValueError):
+        licenses.scan(docs)
+    row = licenses.scan(docs, added="licences.found").first()
+    assert row.found == "mine" and row["licences.found"][0].licence == "MIT"

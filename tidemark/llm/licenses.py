@@ -40,6 +40,22 @@ SENTENCES = {
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-warranty": [
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+        "PARTICULAR PURPOSE ARE DISCLAIMED"
+    ],
+    "bsd-liability": [
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES"
+    ],
+    "bsd-loss": ["LOSS OF USE, DATA, OR PROFITS"],
+    "bsd-cause": [
+        "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
+        "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+    ],
+    "bsd2-name": ["SPDX-License-Identifier: BSD-2-Clause"],
+    "bsd3-name": ["SPDX-License-Identifier: BSD-3-Clause"],
+    "isc-name": ["SPDX-License-Identifier: ISC"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "apache-name": ["Licensed under the Apache License, Version 2.0", "Apache License, Version 2.0", "This project is licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
     "apache-named": ['Licensed under the Apache License, Version 2.0 (the "License")'],
@@ -53,6 +69,16 @@ SENTENCES = {
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl2-free": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "This program is free software"],
     "gpl2-later": ["either version 2 of the License, or (at your option) any later version"],
+    "gpl2-later-name": ["SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl3-later-name": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "lgpl-library": ["This library is free software"],
+    "lgpl-free": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "lgpl21-later": ["either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl21-name": ["SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the GNU Lesser General Public License, version 2.1 or later"],
+    "lgpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl3-name": ["SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-name": ["SPDX-License-Identifier: AGPL-3.0-or-later", "Licensed under the GNU Affero General Public License, version 3 or later"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "gpl-fitness": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "gpl-details": ["See the GNU General Public License for more details"],
@@ -75,6 +101,8 @@ RULES = [
     ("MIT", ["mit-name", "mit-grant", "mit-condition", "mit-warranty", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-condition", "mit-warranty", "mit-liability"]),
     ("MIT-0", ["mit-grant", "mit-warranty", "mit-liability"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty", "bsd-liability", "bsd-loss", "bsd-cause"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability", "bsd-loss", "bsd-cause"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", ["apache-named", "apache-comply"]),
@@ -83,12 +111,24 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl2-free", "gpl2-later"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl2-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-library", "lgpl-free", "lgpl21-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl21-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]),
     ("ISC", ["isc-grant"]),
     ("MIT", ["mit-name"]),
     ("Apache-2.0", ["apache-named"]),
     ("Apache-2.0", ["apache-name"]),
     ("GPL-3.0-only", ["gpl3-name"]),
     ("GPL-2.0-only", ["gpl2-name"]),
+    ("GPL-2.0-or-later", ["gpl2-later-name"]),
+    ("GPL-3.0-or-later", ["gpl3-later-name"]),
+    ("LGPL-2.1-or-later", ["lgpl21-name"]),
+    ("LGPL-3.0-or-later", ["lgpl3-name"]),
+    ("AGPL-3.0-or-later", ["agpl-name"]),
+    ("BSD-2-Clause", ["bsd2-name"]),
+    ("BSD-3-Clause", ["bsd3-name"]),
+    ("ISC", ["isc-name"]),
     ("MPL-2.0", ["mpl-terms"]),
     ("MPL-2.0", ["mpl-name"]),
     ("CC-BY-4.0", ["cc-by"]),
