@@ -14,7 +14,7 @@ from tidemark.plans.session import cut
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return cut(edges.groupBy("a").agg(F.min("b").alias("m")))
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
 def _state(edges: DataFrame) -> tuple:
