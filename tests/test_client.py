@@ -1,6 +1,7 @@
 import types
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemark.operators import raftlog
@@ -60,3 +61,26 @@ def test_a_cluster_needs_a_shared_folder():
 
 def test_only_absent_parts_are_left_out():
     assert not __spark_entry__._there("tidemark.nothing.queries") and not __spark_entry__._there("no_such_module") and __spark_entry__._there("tidemark.plans.session")
+
+
+def test_elections_terms_and_who_may_write(spark):
+    nodes = spark.createDataFrame([("a", "LEADER", 3, 0), ("b", "FOLLOWER", 3, 0), ("c", "FOLLOWER", 2, 900), ("d", "CANDIDATE", 1, 0)], "node_id string, role string, term long, heard long")
+    due = {(r.candidate, r.term) for r in raftlog.elections_due(nodes, 1000).collect()}
+    assert due == {("b", 4), ("d", 2)} and raftlog.elections_due(nodes, 149).count() == 0
+    waits = [r[0] for r in spark.range(500).select(raftlog.timeout_ms(F.col("id").cast("string"), F.lit(1))).collect()]
+    assert 150 <= min(waits) < 160 and 290 < max(waits) < 300
+    messages = spark.createDataFrame([("a", 5), ("a", 4), ("b", 3), ("x", 9)], "node_id string, term long")
+    assert {r.node_id: (r.role, r.term) for r in raftlog.stepped_down(nodes, messages).collect()} == {"a": ("FOLLOWER", 5), "b": ("FOLLOWER", 3), "c": ("FOLLOWER", 2), "d": ("CANDIDATE", 1)}
+    requests = spark.createDataFrame([(0, "a", "PUT"), (1, "b", "PUT"), (2, "b", "GET"), (3, "zz", "GET")], "pos int, node_id string, op string")
+    got = {r.pos: (r.status, r.leader) for r in raftlog.admitted(requests, nodes).collect()}
+    assert got == {0: ("OK", None), 1: ("NOT_LEADER", "a"), 2: ("OK", None), 3: ("UNKNOWN_NODE", None)}
+    nobody = raftlog.admitted(requests, nodes.where("node_id = 'b'")).collect()
+    assert {r.pos: (r.status, r.leader) for r in nobody}[1] == ("NOT_LEADER", None)
+
+
+def test_partition_and_heal(spark):
+    edges = spark.createDataFrame([(a, b) for a in "lmn" for b in "lmn" if a != b], "src string, dst string")
+    logs = spark.createDataFrame([("l", 1, 1, "Put", "k", "v"), ("l", 2, 1, "Put", "k2", "v")], "node_id string, index long, term long, cmd string, key string, value string")
+    parted = raftlog.replicated(logs, "l", raftlog.reached(edges, "l", spark.createDataFrame([("l", "n")], "src string, dst string")))
+    assert {r.node_id: r["count"] for r in parted.groupBy("node_id").count().collect()} == {"l": 2, "m": 2}
+    assert raftlog.replicated(parted, "l", raftlog.reached(edges, "l")).groupBy("node_id").count().where("count = 2").count() == 3

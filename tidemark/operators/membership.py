@@ -86,6 +86,13 @@ def converged(state: DataFrame) -> DataFrame:
     return by_node.agg(((F.max("v") == 1) & (F.max("n") == F.min("n"))).alias("converged"))
 
 
+def admin_reply(requests: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Requests (pos, method, path) with code and body, of bodies (path, body): 405 for other methods than GET, 404 for other paths."""
+    held = requests.join(bodies.select("path", F.col("body").alias("_body")), "path", "left")
+    code = F.when(F.upper("method") != "GET", 405).when(F.col("_body").isNull(), 404).otherwise(200)
+    return held.select("pos", code.alias("code"), F.when(code == 200, F.col("_body")).alias("body"))
+
+
 def seeds(env: DataFrame) -> DataFrame:
     """(node_id, host, port, status) of a comma-separated seeds column; malformed ones are left out."""
     one = env.select(F.explode(F.split("seeds", ",")).alias("s")).select(F.trim("s").alias("s"))

@@ -1,7 +1,6 @@
 """Replicated logs as relations (F1 to F7, F9, R8, R12, R13): rows (node_id, index, term, cmd, key, value), index from 1.
 
-The relational part of consensus only: log surgery, rounds of replication over the nodes that are reached, votes, the commit index and the fold.
-Timers and transports have no place here.
+The relational part of consensus only: log surgery, rounds of replication over the nodes that are reached, votes, elections that are due, who may write, the commit index and the fold. Time is an argument.
 """
 
 from __future__ import annotations
@@ -14,6 +13,10 @@ from tidemark.operators.order import numbered, with_last_before
 from tidemark.operators.resolve import newest
 
 
+# The bounds of election timeouts.
+LEAST_TIMEOUT_MS, MOST_TIMEOUT_MS = 150, 300
+
+
 def tail(logs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, last_index, last_term) of nodes; 0 and 0 for an empty log."""
     last = logs.groupBy("node_id").agg(F.max("index").alias("i"), F.max_by("term", "index").alias("t"))
@@ -62,6 +65,41 @@ def votes(requests: DataFrame, voters: DataFrame) -> DataFrame:
     return judged.withColumn("granted", F.col("_fit") & (F.col("candidate") == first)).select("pos", "voter", "candidate", "term", "granted")
 
 
+def timeout_ms(node_id: Column, term: Column) -> Column:
+    """how long a node waits for its leader in a term: drawn by a hash of both, so that nodes differ and a rerun agrees."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("#", node_id, term.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.lit(LEAST_TIMEOUT_MS) + drawn % (MOST_TIMEOUT_MS - LEAST_TIMEOUT_MS)
+
+
+def elections_due(nodes: DataFrame, as_of: int) -> DataFrame:
+    """(candidate, term) of the elections that begin by a time: nodes (node_id, role, term, heard) that don't lead and have heard nothing for
+    their timeout, each in the term after its own."""
+    late = F.lit(as_of) - F.col("heard") >= timeout_ms(F.col("node_id"), F.col("term"))
+    return nodes.where((F.col("role") != "LEADER") & late).select(F.col("node_id").alias("candidate"), (F.col("term") + 1).alias("term"))
+
+
+def stepped_down(nodes: DataFrame, messages: DataFrame) -> DataFrame:
+    """nodes (node_id, role, term) after messages (node_id, term): whoever meets a higher term follows in it, the others stay as they are."""
+    seen = messages.groupBy("node_id").agg(F.max("term").alias("_seen"))
+    higher = F.col("_seen") > F.col("term")
+    return nodes.join(seen, "node_id", "left").select("node_id", F.when(higher, "FOLLOWER").otherwise(F.col("role")).alias("role"), F.when(higher, F.col("_seen")).otherwise(F.col("term")).alias("term"))
+
+
+def admitted(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """requests (pos, node_id, op) with status and leader: any node answers reads, only a leader takes writes; others name the leader of the highest term."""
+    leader = nodes.where(F.col("role") == "LEADER").agg(F.max_by("node_id", "term").alias("leader"))  # one row, null where none leads
+    judged = requests.join(nodes.select("node_id", "role"), "node_id", "left").join(leader, F.lit(True))
+    reads, leads = F.col("op").isin("GET", "EXISTS"), F.coalesce(F.col("role") == "LEADER", F.lit(False))
+    status = F.when(F.col("role").isNull(), "UNKNOWN_NODE").when(reads | leads, "OK").otherwise("NOT_LEADER")
+    return judged.select("pos", status.alias("status"), F.when(status == "NOT_LEADER", F.col("leader")).alias("leader"))
+
+
+def reached(edges: DataFrame, source: str, cut_off: DataFrame | None = None) -> DataFrame:
+    """(node_id) that a node's messages get to over edges (src, dst), less those (src, dst) that a partition cuts."""
+    left = edges.join(cut_off, ["src", "dst"], "left_anti") if cut_off is not None else edges
+    return left.where(F.col("src") == source).select(F.col("dst").alias("node_id")).distinct()
+
+
 def elected(granted: DataFrame, cluster: int) -> DataFrame:
     """(term, candidate, votes) of candidates with a majority of the cluster."""
     counted = granted.where("granted").groupBy("term", "candidate").agg(F.count_distinct("voter").alias("votes"))

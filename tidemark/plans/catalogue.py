@@ -498,6 +498,41 @@ def raft_elected(spark, d):
     return raftlog.elected(raftlog.votes(*_votes(spark)), 3)
 
 
+_PEERS_SQL = "peers AS (SELECT 'n' || user_id AS node_id, CASE WHEN user_id % 5 = 0 THEN 'LEADER' WHEN user_id % 5 = 1 THEN 'CANDIDATE' ELSE 'FOLLOWER' END AS role, user_id % 7 AS term, max(epoch_us(ts) // 1000)::BIGINT AS heard FROM events GROUP BY user_id)"
+
+
+def _peers(spark, d):
+    role = F.when(F.col("user_id") % 5 == 0, "LEADER").when(F.col("user_id") % 5 == 1, "CANDIDATE").otherwise("FOLLOWER")
+    heard = R.table(spark, d, "events").groupBy("user_id").agg(F.max(R.millis("ts")).alias("heard"))
+    return heard.select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("node_id"), role.alias("role"), (F.col("user_id") % 7).alias("term"), "heard")
+
+
+_HEARD_BY = DETECT_AT - 40_000_000
+
+
+@query(f"SELECT node_id AS candidate, term + 1 AS term FROM peers WHERE role <> 'LEADER' AND {_HEARD_BY} - heard >= 150 + ('0x' || substring(md5(node_id || '#' || term), 1, 8))::BIGINT % 150", _PEERS_SQL)
+def raft_elections_due(spark, d):
+    return raftlog.elections_due(_peers(spark, d), _HEARD_BY)
+
+
+@query("SELECT node_id, CASE WHEN seen > term THEN 'FOLLOWER' ELSE role END AS role, greatest(term, coalesce(seen, term)) AS term FROM peers LEFT JOIN (SELECT 'n' || user_id AS node_id, max(event_id % 9) AS seen FROM events WHERE event_type = 'error' GROUP BY user_id) USING (node_id)", _PEERS_SQL)
+def raft_stepped_down(spark, d):
+    sent = R.table(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("node_id"), (F.col("event_id") % 9).alias("term"))
+    return raftlog.stepped_down(_peers(spark, d), sent)
+
+
+@query("""SELECT event_id AS pos, CASE WHEN role IS NULL THEN 'UNKNOWN_NODE' WHEN event_type = 'view' OR role = 'LEADER' THEN 'OK' ELSE 'NOT_LEADER' END AS status,
+CASE WHEN role IS NOT NULL AND event_type <> 'view' AND role <> 'LEADER' THEN (SELECT arg_max(node_id, term) FROM own WHERE role = 'LEADER') END AS leader
+FROM events LEFT JOIN own ON own.node_id = 'n' || user_id""", _PEERS_SQL + ", own AS (SELECT node_id, CASE WHEN heard = (SELECT max(heard) FROM peers) THEN 'LEADER' ELSE 'FOLLOWER' END AS role, term FROM peers WHERE term <> 3)")
+def raft_admitted(spark, d):
+    """Requests to nodes of which some are not known and the one that was heard last leads."""
+    peers = _peers(spark, d)
+    top = peers.agg(F.max("heard").alias("top"))
+    own = peers.join(top, F.lit(True)).where("term <> 3").select("node_id", F.when(F.col("heard") == F.col("top"), "LEADER").otherwise("FOLLOWER").alias("role"), "term")
+    requests = R.table(spark, d, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("node_id"), F.when(F.col("event_type") == "view", "GET").otherwise("PUT").alias("op"))
+    return raftlog.admitted(requests, own)
+
+
 # Metrics (R9, R10, I17)
 
 _OBSERVED_SQL = "o AS (SELECT event_type AS name, floor(value)::BIGINT AS value_ms FROM events)"
@@ -809,6 +844,20 @@ def kv_blank_keys(spark, d):
     return rows.select("i", keys.is_blank(F.col("key")).alias("blank"))
 
 
+@query("SELECT seq, key, value FROM log WHERE seq > (SELECT max(seq) // 2 FROM log)", R.LOG_SQL)
+def wal_compacted(spark, d):
+    """The log once a snapshot holds its first half."""
+    own = R.log(spark, d)
+    half = (own.agg(F.max("seq")).first()[0] or 0) // 2
+    return log_source.compacted(own, half).select("seq", "key", "value")
+
+
+@query("""SELECT event_id AS pos, CASE WHEN event_id % 3 = 0 THEN 405 WHEN event_type = 'view' THEN 200 ELSE 404 END AS code, CASE WHEN event_id % 3 <> 0 AND event_type = 'view' THEN (SELECT '{"total":' || count(*) || ',"active":' || count(*) FILTER (status = 'ACTIVE') || '}' FROM members) END AS body FROM events""", _MEMBER_EVENTS_SQL)
+def admin_replies(spark, d):
+    requests = R.table(spark, d, "events").select(F.col("event_id").alias("pos"), F.when(F.col("event_id") % 3 == 0, "post").otherwise("get").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"))
+    return membership.admin_reply(requests, membership.status_json(_members(spark, d)).select(F.lit("/view").alias("path"), "body"))
+
+
 @query("SELECT count(*) AS pending FROM missed", _HINTS_SQL)
 def hints_total(spark, d):
     return quorum.total_pending(_hints(spark, d))
