@@ -118,19 +118,19 @@ def splitting_tree(sources: DataFrame, shards: int, seed: int = SEED) -> DataFra
     quota = F.struct(F.col("rank").cast("long").alias("rank"), F.col("blocks").cast("long").alias("n"))
     root = sources.where("blocks > 0").agg(F.array_sort(F.collect_list(quota)).alias("quotas")).where("size(quotas) > 0")
     tree = root.select(F.lit(0).alias("first"), F.lit(shards).alias("shards"), "quotas")
+    half = F.floor(F.col("shards") / 2).cast("int")
+    node = F.col("first") * 100_003 + F.col("shards")
+    side = lambda out, n: F.filter(F.transform(out, lambda x: F.struct(x["rank"].alias("rank"), n(x).alias("n"))), lambda x: x["n"] > 0)
+    child = lambda first, n, q: F.struct(first.cast("int").alias("first"), n.cast("int").alias("shards"), q.alias("quotas"))
+    both = let(
+        _split(F.col("quotas"), F.col("shards"), node, seed),
+        lambda out: F.array(child(F.col("first"), half, side(out, lambda x: x["k"])), child(F.col("first") + half, F.col("shards") - half, side(out, lambda x: x["n"] - x["k"]))),
+    )
+    whole = F.array(child(F.col("first"), F.col("shards"), F.col("quotas")))
+    children = F.explode(F.when(F.col("shards") > 1, both).otherwise(whole)).alias("c")  # the same at each level
     for level in range(max(0, math.ceil(math.log2(shards)))):
-        if level == SPREAD_LEVEL:
-            tree = tree.repartition("first")
-        half = F.floor(F.col("shards") / 2).cast("int")
-        node = F.col("first") * 100_003 + F.col("shards")
-        side = lambda out, n: F.filter(F.transform(out, lambda x: F.struct(x["rank"].alias("rank"), n(x).alias("n"))), lambda x: x["n"] > 0)
-        child = lambda first, n, q: F.struct(first.cast("int").alias("first"), n.cast("int").alias("shards"), q.alias("quotas"))
-        both = let(
-            _split(F.col("quotas"), F.col("shards"), node, seed),
-            lambda out: F.array(child(F.col("first"), half, side(out, lambda x: x["k"])), child(F.col("first") + half, F.col("shards") - half, side(out, lambda x: x["n"] - x["k"]))),
-        )
-        whole = F.array(child(F.col("first"), F.col("shards"), F.col("quotas")))
-        tree = tree.select(F.explode(F.when(F.col("shards") > 1, both).otherwise(whole)).alias("c")).select("c.*").where("size(quotas) > 0")
+        tree = tree.repartition("first") if level == SPREAD_LEVEL else tree
+        tree = tree.select(children).select("c.*").where("size(quotas) > 0")
     return tree.select(F.col("first").alias("shard"), F.explode("quotas").alias("x")).select("shard", "x.rank", "x.n")
 
 
