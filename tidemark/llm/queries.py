@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, exact_dedup, langid, licenses, mixing, packing, secrets, simhash, token_files
+from tidemark.llm import ann, chat, exact_dedup, langid, licenses, mixing, packing, secrets, simhash, simhash_sql, token_files
 from tidemark.plans.session import scratch_path
 
 
@@ -151,4 +151,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op7_licenses": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_simhash": simhash_sql.sql(), "op7_licenses": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat": OP9_SQL}
