@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, langid, mixing, packing, simhash
-from tidemark.plans.session import scratch_path
+from tidemark.plans.session import remove, scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them, in the order of its shards."""
+    """The documents that the mix takes, as often as it takes them, in the order of its shards; those that lie across blocks in pieces."""
     return mixing.mixed_documents(docs)
 
 
@@ -50,9 +50,12 @@ ORACLE_SQL = None  # the stages' models, hashes and tokenizers have no SQL form;
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage is written in the shared folder and read again; once the next one is, it is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = scratch_path(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            remove(spark, f"{base}/{k - 1}")
     return docs
