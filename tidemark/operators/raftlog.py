@@ -49,7 +49,7 @@ def contains(logs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def at_least_as_new(term: Column, index: Column, own_term: Column, own_index: Column) -> Column:
     """whether a candidate's log (term, index) is up to date for a voter's."""
-    return F.struct(term, index) >= F.struct(own_term, own_index)
+    return F.struct(term.cast("long"), index.cast("long")) >= F.struct(own_term.cast("long"), own_index.cast("long"))
 
 
 def votes(requests: DataFrame, voters: DataFrame) -> DataFrame:

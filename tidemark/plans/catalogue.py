@@ -377,9 +377,14 @@ def admin_health(spark, d):
     return membership.health_json(_members(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('h1:1', 'h1', 1, 'ACTIVE'), ('h3:77', 'h3', 77, 'ACTIVE')) s(node_id, host, port, status)")
+@query("""SELECT host || ':' || port AS node_id, host, port::INTEGER AS port, 'ACTIVE' AS status FROM (SELECT 'h' || event_id AS host, 1000 + user_id AS port FROM events WHERE event_id % 5 IN (0, 1)
+UNION ALL SELECT 'g' || event_id, 7 FROM events WHERE event_id % 5 IN (0, 2))""")
 def seeds_parsed(spark, d):
-    return membership.seeds(spark.createDataFrame([("h1:1, bad,h2:x,h3:77,:5",)], "seeds string"))
+    """Seed lists of events: whole ones, and with a host without a port, a port that is none, one without a host, and nothing."""
+    i, host = F.col("event_id").cast("string"), F.concat(F.lit("h"), F.col("event_id").cast("string"), F.lit(":"), (F.col("user_id") + 1000).cast("string"))
+    other = F.concat(F.lit("g"), i, F.lit(":7"))
+    lists = F.element_at(F.array(F.concat(host, F.lit(", "), other), F.concat(host, F.lit(",h"), i), F.concat(F.lit("h:x,"), other), F.concat(F.lit(":"), i), F.lit("")), (F.col("event_id") % 5 + 1).cast("int"))
+    return membership.seeds(R.table(spark, d, "events").select(lists.alias("seeds")))
 
 
 _GOSSIP_SQL = """g AS (SELECT event_id % 3 AS o, 'n' || user_id AS node_id, event_type AS status, event_id // 10 AS version FROM events),
@@ -482,20 +487,28 @@ def raft_slice(spark, d):
     return raftlog.part(_leader(spark, d), 100, 600).groupBy("term").agg(F.count("*").alias("entries"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a', 'x', 1, true), (1, 'a', 'y', 1, false), (2, 'b', 'x', 1, true), (3, 'a', 'y', 5, true), (4, 'a', 'x', 3, false), (5, 'b', 'z', 9, false)) t(pos, voter, candidate, term, granted)")
+_VOTES_SQL = """req AS (SELECT event_id AS pos, 'v' || user_id % 5 AS voter, event_type AS candidate, event_id // 40 + user_id % 3 AS term, event_id % 50 AS last_index, event_id % 4 AS last_term FROM events),
+fitting AS (SELECT *, term >= coalesce(max(term) OVER (PARTITION BY voter ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AND (last_term > 1 OR last_term = 1 AND last_index >= 25) AS fit FROM req),
+firsts AS (SELECT voter, term, arg_min(candidate, pos) AS first FROM fitting WHERE fit GROUP BY voter, term),
+granted AS (SELECT pos, voter, candidate, term, fit AND candidate = first AS granted FROM fitting LEFT JOIN firsts USING (voter, term))"""
+
+
+@query("SELECT pos, voter, candidate, term, coalesce(granted, false) AS granted FROM granted", _VOTES_SQL)
 def raft_votes(spark, d):
-    return raftlog.votes(*_votes(spark))
+    return _votes(spark, d)
 
 
-def _votes(spark):
-    requests = [(0, "a", "x", 1, 3, 1), (1, "a", "y", 1, 3, 1), (2, "b", "x", 1, 3, 1), (3, "a", "y", 5, 3, 1), (4, "a", "x", 3, 3, 1), (5, "b", "z", 9, 2, 1)]
-    voters = [("a", 0, 3, 1), ("b", 0, 3, 1)]
-    return spark.createDataFrame(requests, "pos int, voter string, candidate string, term int, last_index int, last_term int"), spark.createDataFrame(voters, "voter string, term int, last_index int, last_term int")
+def _votes(spark, d):
+    """Five voters with logs that end at (term 1, index 25), asked for votes by events."""
+    i, u = F.col("event_id"), F.col("user_id")
+    requests = R.table(spark, d, "events").select(i.alias("pos"), F.concat(F.lit("v"), (u % 5).cast("string")).alias("voter"), F.col("event_type").alias("candidate"), (F.floor(i / 40) + u % 3).alias("term"), (i % 50).alias("last_index"), (i % 4).alias("last_term"))
+    voters = spark.range(0, 5, 1, 1).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("voter"), F.lit(0).alias("term"), F.lit(25).alias("last_index"), F.lit(1).alias("last_term"))
+    return raftlog.votes(requests, voters)
 
 
-@query("SELECT 1 AS term, 'x' AS candidate, 2 AS votes")
+@query("SELECT term, candidate, count(DISTINCT voter) AS votes FROM granted WHERE granted GROUP BY term, candidate HAVING count(DISTINCT voter) >= 3", _VOTES_SQL)
 def raft_elected(spark, d):
-    return raftlog.elected(raftlog.votes(*_votes(spark)), 3)
+    return raftlog.elected(_votes(spark, d), 5)
 
 
 _PEERS_SQL = "peers AS (SELECT 'n' || user_id AS node_id, CASE WHEN user_id % 5 = 0 THEN 'LEADER' WHEN user_id % 5 = 1 THEN 'CANDIDATE' ELSE 'FOLLOWER' END AS role, user_id % 7 AS term, max(epoch_us(ts) // 1000)::BIGINT AS heard FROM events GROUP BY user_id)"
@@ -838,10 +851,10 @@ def kv_ttl_evictions(spark, d):
     return ttl.evictions(live, AS_OF).select("key", "seq", "tombstone")
 
 
-@query("SELECT * FROM (VALUES (0, true), (1, true), (2, true), (3, true), (4, false), (5, false)) t(i, blank)")
+@query("SELECT event_id AS i, event_id % 5 < 4 AS blank FROM events")
 def kv_blank_keys(spark, d):
-    rows = spark.createDataFrame(list(enumerate([None, "", " ", "\t\n", "k", " k "])), "i int, key string")
-    return rows.select("i", keys.is_blank(F.col("key")).alias("blank"))
+    keys_ = F.array(F.lit(None).cast("string"), F.lit(""), F.lit(" "), F.lit("\t\n"), F.concat(F.lit(" "), "event_type"))
+    return R.table(spark, d, "events").select(F.col("event_id").alias("i"), keys.is_blank(F.element_at(keys_, (F.col("event_id") % 5 + 1).cast("int"))).alias("blank"))
 
 
 @query("SELECT seq, key, value FROM log WHERE seq > (SELECT max(seq) // 2 FROM log)", R.LOG_SQL)
@@ -898,11 +911,11 @@ def raft_gaps(spark, d):
     return raftlog.gaps(own).select("index")
 
 
-@query("SELECT voter, pos, granted FROM (VALUES ('v', 0, false), ('v', 1, true), ('v', 2, true)) t(voter, pos, granted)")
+@query("SELECT event_id AS pos, event_id % 4 > 2 OR event_id % 4 = 2 AND user_id >= 5 AS granted FROM events")
 def raft_up_to_date(spark, d):
-    """A candidate's log against a voter's (term 2, index 5): older term; same term, same index; newer term, shorter."""
-    rows = spark.createDataFrame([("v", 0, 1, 9), ("v", 1, 2, 5), ("v", 2, 3, 1)], "voter string, pos int, term int, index int")
-    return rows.select("voter", "pos", raftlog.at_least_as_new(F.col("term"), F.col("index"), F.lit(2), F.lit(5)).alias("granted"))
+    """Candidates' logs against a voter's that ends at (term 2, index 5)."""
+    term, index = F.col("event_id") % 4, F.col("user_id")
+    return R.table(spark, d, "events").select(F.col("event_id").alias("pos"), raftlog.at_least_as_new(term, index, F.lit(2), F.lit(5)).alias("granted"))
 
 
 @query("SELECT 'body' AS kind, '[' || string_agg('{\"nodeId\":\"' || node_id || '\",\"host\":\"h\",\"port\":1,\"status\":\"ACTIVE\"}', ',' ORDER BY node_id) || ']' AS body FROM members WHERE status = 'ACTIVE'", _MEMBER_EVENTS_SQL)
