@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 
 import pytest
 
@@ -102,16 +103,21 @@ def brute_model(samples):
     return lambda a, b: math.log(counts[True][a, b] / totals[True][a]) - math.log(counts[False][a, b] / totals[False][a])
 
 
+def varied(run):
+    return len(set(run)) >= max(8, min(12, len(run) / 3))
+
+
 def brute_added(text, ratio):
-    """Spans of the runs with letters and digits outside base spans: whole where their ratio is over the threshold, else the stretches that rise over it."""
+    """Spans of the runs with letters outside base spans: whole where their ratio is over the threshold, else the stretches that rise over it."""
     base, out = brute(text), []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         run = m[0]
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or any(a < m.end() and m.start() < b for a, _, b in base):
+        if not re.search("[A-Za-z]", run) or any(a < m.end() and m.start() < b for a, _, b in base):
             continue
         steps = [ratio(a, b) for a, b in zip([None, *run], run, strict=False)]
         if math.fsum(steps) > secrets.THRESHOLD:
-            out.append((m.start(), m.end(), math.fsum(steps)))
+            if varied(run):
+                out.append((m.start(), m.end(), math.fsum(steps)))
             continue
         found, s, first, last, peak = [], 0.0, 0, 0, 0.0
         for at, x in enumerate([*steps, -1e9], 1):
@@ -132,7 +138,7 @@ def brute_added(text, ratio):
                 wide[-1] = [wide[-1][0], max(wide[-1][1], b), max(wide[-1][2], r)]
             else:
                 wide.append([a, b, r])
-        out += [(m.start() + a, m.start() + b, r) for a, b, r in wide if b - a >= secrets.LEAST]
+        out += [(m.start() + a, m.start() + b, r) for a, b, r in wide if b - a >= secrets.LEAST and varied(run[a:b])]
     return out
 
 
@@ -145,13 +151,14 @@ def mixed_texts(n, seed):
         text, spans = "", []
         for _ in range(6):
             if rng.random() < 0.4:
-                token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([24, 32, 40])))
+                signs = rng.choice([string.ascii_letters + string.digits, string.ascii_letters])
+                token = "".join(rng.choice(signs) for _ in range(rng.choice([24, 32, 40])))
                 before = rng.choice(["", "/".join(rng.choices(other, k=4)) + "/"])
                 spans.append((len(text) + len(before), len(text) + len(before) + len(token)))
                 text += before + token
             else:
                 words = rng.choices(other, k=rng.randint(3, 6))
-                text += rng.choice(["_".join(words) + "_7", "".join(w.title() for w in words) + "42", "-".join(words) + "-2024", "/".join(words) + "/v3", "_".join(words).upper() + "_1"])
+                text += rng.choice(["_".join(words) + "_7", "".join(w.title() for w in words) + "42", "-".join(words) + "-2024", "/".join(words) + "/v3", "_".join(words).upper() + "_1", "_".join(words), "".join(w.title() for w in words), "=" * 40 + words[0], "xY" * 20])
             text += rng.choice([" ", ", ", "\n", " é "])
         out.append((text, spans))
     return out

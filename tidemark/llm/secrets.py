@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and two character Markov models compared by their log-likelihood ratio.
 
 One model is trained on random strings and one on ordinary identifiers, both from labelled samples; a candidate
-(a long run of key characters with letters and digits) is reported where the ratio favours the random strings; where that of the whole
+(a long run of key characters with a letter) is reported where the ratio favours the random strings; where that of the whole
 run doesn't, as in a long path before a secret, its best stretches are, out to the separators around them.
 Everything is DataFrame functions: the text is scanned once, and nothing is shuffled but the samples.
 
@@ -31,7 +31,8 @@ CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 SEPARATORS = "/_=-"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = len(ALPHABET)  # the state before the first character
-THRESHOLD = 14.0  # nats; random strings have about 1.4 a sign
+THRESHOLD = 15.0  # nats; random strings have about 1.4 a sign
+VARIETY = (8, 12)  # different signs that a random string has at least: a third of its length, within these bounds
 SMOOTHING = 0.5
 
 # Words that ordinary identifiers of the default samples are made of.
@@ -178,14 +179,16 @@ def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = T
             typed(match_spans(text, HEX), 2),
         )
     )
-    mixed = lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]")
+    lettered = lambda h: h.rlike("[A-Za-z]")
     out = docs.withColumn(added[0], base)
-    free = F.filter(match_spans(text, CANDIDATE, mixed), lambda c: ~F.exists(exactly(added[0]), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = F.filter(match_spans(text, CANDIDATE, lettered), lambda c: ~F.exists(exactly(added[0]), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
     def scored(c: Column) -> Column:
         whole = lambda r: F.array(F.struct(F.lit(0).alias("start"), F.length(c["hit"]).alias("end"), r.alias("log_ratio")))
         parts = let(log_ratio(c["hit"], model), lambda r: F.when(r > threshold, whole(r)).otherwise(stretches(c["hit"], model, threshold)))
-        return F.transform(parts, lambda x: F.struct((c["start"] + x["start"]).alias("start"), F.lit(3).alias("ord"), (c["start"] + x["end"]).alias("end"), x["log_ratio"].alias("log_ratio")))
+        enough = lambda n: F.greatest(F.lit(VARIETY[0]), F.least(F.lit(VARIETY[1]), n / 3))
+        varied = F.filter(parts, lambda x: F.size(F.array_distinct(F.split(F.substring(c["hit"], x["start"] + 1, x["end"] - x["start"]), ""))) >= enough(x["end"] - x["start"]))
+        return F.transform(varied, lambda x: F.struct((c["start"] + x["start"]).alias("start"), F.lit(3).alias("ord"), (c["start"] + x["end"]).alias("end"), x["log_ratio"].alias("log_ratio")))
 
     return out.withColumn(added[1], F.flatten(F.transform(free, scored)))
 
