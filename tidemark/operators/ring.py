@@ -16,7 +16,7 @@ from tidemark.plans.session import cut
 
 VNODES = 150
 AHEAD = 8
-BUCKET_BITS = 10
+BUCKET_BITS = 16  # a bucket has an arc or two of rings up to some hundreds of nodes; far larger rings want a few more
 
 
 def tokens(nodes: DataFrame, vnodes: int = VNODES) -> DataFrame:
@@ -45,9 +45,9 @@ def intervals(ring: DataFrame, carry: str = "node_id") -> DataFrame:
     return ends.select(F.explode(arcs).alias("arc"), carry).select("arc.*", carry).where("low < high")
 
 
-def place(keys: DataFrame, ring: DataFrame, carry: str = "node_id") -> DataFrame:
-    """keys (key, others) with carry of the interval that each key's token is in."""
-    shift = 63 - BUCKET_BITS
+def place(keys: DataFrame, ring: DataFrame, carry: str = "node_id", bits: int = BUCKET_BITS) -> DataFrame:
+    """keys (key, others) with carry of the interval that each key's token is in. bits: as many buckets of the line as two to their power."""
+    shift = 63 - bits
     cut = intervals(ring, carry).withColumn("_bucket", F.explode(F.sequence(F.shiftright(F.col("low") + 1, shift), F.shiftright(F.col("high"), shift))))
     hashed = keys.withColumn("_token", ring_token(F.col("key"))).withColumn("_bucket", F.shiftright("_token", shift))
     inside = (F.col("_token") > F.col("_low")) & (F.col("_token") <= F.col("_high"))
