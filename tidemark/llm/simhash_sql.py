@@ -11,7 +11,7 @@ from tidemark.llm.simhash import RADIUS, SEED, SHINGLE
 P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 
 _WHOLE = 1 << 64
-_MOD = f"{_WHOLE}::UHUGEINT"
+_MASK = f"{_WHOLE - 1}::UHUGEINT"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,15 +20,15 @@ def _u(n: int) -> str:
 
 
 def _times(x: str, n: int) -> str:
-    return f"(({x}) * {_u(n)}) % {_MOD}"
+    return f"((({x}) * {_u(n)}) & {_MASK})"
 
 
 def _plus(x: str, y: str) -> str:
-    return f"({x} + {y}) % {_MOD}"
+    return f"(({x} + {y}) & {_MASK})"
 
 
 def _turned(x: str, bits: int) -> str:
-    return f"{_times(x, 1 << bits)} + ({x}) // {_u(1 << (64 - bits))}"
+    return f"({_times(x, 1 << bits)} + (({x}) >> {64 - bits}))"
 
 
 def _round(acc: str, lane: str) -> str:
@@ -62,7 +62,7 @@ s AS (SELECT words, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS shingle FR
 b AS (SELECT DISTINCT shingle, strlen(shingle) AS len, hex(encode(shingle)) AS x FROM s),
 l AS (SELECT *, list_transform(range(len // 8), lambda i: {_little_endian('8 * i', 8)}) AS lane FROM b),
 v AS (SELECT *, {", ".join(f"{_folded(_u(n), stripes(k), _round('a', 'x'))} AS v{k}" for k, n in enumerate(starts))} FROM l),
-m AS (SELECT *, ({" + ".join(_turned(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18)))}) % {_MOD} AS m FROM v),
+m AS (SELECT *, ({" + ".join(_turned(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18)))}) & {_MASK} AS m FROM v),
 m0 AS (SELECT *, {merged("m", "v0")} AS m0 FROM m), m1 AS (SELECT *, {merged("m0", "v1")} AS m1 FROM m0), m2 AS (SELECT *, {merged("m1", "v2")} AS m2 FROM m1), m3 AS (SELECT *, {merged("m2", "v3")} AS m3 FROM m2),
 h0 AS (SELECT *, {_plus(f"CASE WHEN len >= 32 THEN m3 ELSE {_u(SEED + P5)} END", "len::UHUGEINT")} AS h0 FROM m3),
 h1 AS (SELECT *, {_folded("h0", "list_transform(range(4 * (len // 32), len // 8), lambda i: lane[i + 1])", by_eight)} AS h1 FROM h0),
