@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bloom, codecs, hashing, keys, resp
 from tidemark.operators import batch, commands, membership, metrics, quorum, raftlog, resolve, ring, scan, ttl
-from tidemark.operators.order import with_last_before
+from tidemark.operators.order import numbered, with_last_before
 from tidemark.plans import relations as R
 from tidemark.plans.session import scratch_path
 from tidemark.sources import log as log_source
@@ -122,6 +122,21 @@ def kv_scan_range(spark, d):
     return scan.between(R.orders(spark, d), "order:2", "order:3")
 
 
+def _in_order(scanned: DataFrame) -> DataFrame:
+    """(pos, key): the place of each row as the scan gave it."""
+    return numbered(scanned.select("key").withColumn("at", F.monotonically_increasing_id()), "at", "pos").select("pos", "key")
+
+
+@query("SELECT row_number() OVER (ORDER BY key) - 1 AS pos, key FROM orders_kv WHERE key LIKE 'order:1%'", R.ORDERS_SQL)
+def kv_scan_prefix_order(spark, d):
+    return _in_order(scan.prefix(R.orders(spark, d), "order:1"))
+
+
+@query("SELECT row_number() OVER (ORDER BY key) - 1 AS pos, key FROM view WHERE key >= 'user:00001'", R.STATE_SQL)
+def kv_scan_range_order(spark, d):
+    return _in_order(scan.between(resolve.view(R.log(spark, d)), "user:00001"))
+
+
 @query("SELECT count(*) AS n FROM orders_kv", R.ORDERS_SQL)
 def kv_count(spark, d):
     return scan.count(R.orders(spark, d))
